@@ -1,0 +1,271 @@
+"""Prompt–answer pairs of all exports, and the defect of each broken pair.
+
+Method. Pairs come from neighbours in time (chats) or line order (sessions). The answers are range-sorted by
+text in one pass that compares each with the next larger distinct text: an answer that is a proper prefix of
+it and breaks off is a shortened version. The same pass applies the copy, refusal, language and ending rules,
+and returns slim rows only. A histogram of all answer lengths then shows length-limit spikes; an answer of a
+spike's length that doesn't end like a sentence is truncated too.
+
+Defects, the first that holds: ``empty``, ``refusal``, ``copy``, ``language``, ``truncated``.
+
+Defined results: a null or blank prompt makes no pair; a null, blank or empty answer is ``empty``; repeated
+rows count once; conversations without id and messages without an instant take no part in the order; empty
+tables give an empty result; texts are always judged whole.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from convograph.llm.conversations import ASSISTANT, USER, in_runs
+from convograph.session import cut, parallelism
+from convograph.sources.exports import (
+    GEMINI, SESSIONS, account_zones, chat_messages, newest, session_rows, table, with_instants,
+)
+
+# ---------------------------------------------------------------- fixed values
+#: function words per language
+FUNCTION_WORDS = {
+    "en": "the a an and or of to in is are was be this that it for on with as by from each our your you we they not can how what why does do if when which into than should would could will there here has have me my i give about at",
+    "de": "der die das den dem des ein eine einen einer und oder zu ist sind war wird werden nicht mit auf für von im in wie was warum kann ich wir man sie es dass wenn weil aber auch noch nur diesen dieser dieses jeden unseren unser bei nach vor aus erkläre mir bitte besser am sobald",
+    "es": "el la los las un una unos y o de del que en es son fue no con por para como cómo qué porque puedo puede se su este esta cada nuestro nuestra lo al pero más también si cuando conviene ayer antes mejor explícame sin sobre hay",
+    "fr": "le la les un une des et ou de du que en est sont pas avec pour par comment quoi pourquoi peut je nous on se ce cette ces chaque notre votre il elle dans mais plus aussi si quand au aux sur avant mieux suffit où puis être ne qui",
+    "it": "il lo gli una di del della che è sono non con per come perché posso ogni questo questa nostro ma più anche quando nel alla",
+    "pt": "o os um uma do da dos das que é são não com por para como porque posso cada este esta nosso mas mais também quando no na ao",
+    "nl": "de het een en of van te is zijn niet met op voor hoe wat waarom kan ik wij dat als omdat maar ook nog deze dit elke onze bij naar uit",
+}
+#: names by which a prompt asks for a language
+LANGUAGE_NAMES = (
+    r"english|german|spanish|french|japanese|chinese|korean|italian|portuguese|dutch|russian|"
+    r"englisch|deutsch|spanisch|französisch|japanisch|inglés|alemán|español|francés|japonés|"
+    r"anglais|allemand|espagnol|français|japonais|英語|ドイツ語|スペイン語|フランス語|日本語"
+)
+ASKS_LANGUAGE = re.compile(rf"(?i)\b(?:translat|übersetz|traduc|tradui|traduz)|(?:{LANGUAGE_NAMES})|訳")
+SCRIPTS = (
+    ("ja", re.compile("[぀-ヿ]")), ("ko", re.compile("[가-힯]")), ("zh", re.compile("[一-鿿]")),
+    ("ru", re.compile("[Ѐ-ӿ]")), ("ar", re.compile("[؀-ۿ]")), ("el", re.compile("[Ͱ-Ͽ]")),
+)
+#: openings of refusals; each must start the answer
+REFUSALS = re.compile(
+    r"(?:i(?:['’]?m| am) (?:so |very |really )?(?:sorry|afraid)\b[^.!?\n]{0,40}?\b(?:can(?:no|['’])t|could(?: not|n['’]t)|unable|won['’]t|not able)\b"
+    r"|(?:i(?:['’]?m| am)|as an? (?:ai|artificial|language|assistant)\b[^.!?\n]{0,40}?) (?:unable|not able|not permitted|not allowed) to (?:fulfil|help|assist|provide|comply|answer|discuss|share|do|continue|give|support)"
+    r"|as an? (?:ai|artificial|language model|assistant)\b[^.!?\n]{0,40}?\b(?:can(?:no|['’])t|must not|won['’]t|will not)\b"
+    r"|(?:this|that|your) (?:request|question) (?:goes against|violates|is against)\b"
+    r"|(?:sorry|apologies|my apologies)\b[^.!?\n]{0,40}?\b(?:not permitted|not allowed|can(?:no|['’])t (?:help|assist|discuss|answer|do|share|provide)|have to pass|must decline|unable to (?:help|assist|answer))"
+    r"|it (?:wouldn['’]t|would not|isn['’]t|is not) (?:be )?appropriate for me\b"
+    r"|i (?:can(?:no|['’])t|can not|won['’]t|will not|am not going to) (?:(?:be able to )?(?:assist|help|comply|fulfil|support|discuss|share|provide|engage)\b)(?: you)?(?: (?:with|on|in|that|this|any|about)\b|[.,!]|\s*$)"
+    r"|i (?:must|have to|need to) (?:respectfully )?(?:decline|refuse|pass)\b"
+    r"|i (?:don['’]t|do not) feel comfortable\b|i(?:['’]?m| am) not comfortable\b"
+    r"|unfortunately,? i (?:won['’]t|will not|can(?:no|['’])t|am not|am unable|['’]m not)[^.!?\n]{0,25}\b(?:share|help|assist|provide|discuss|answer|comply|fulfil)\b"
+    r"|(?:dabei|damit|das|hierbei) (?:kann|darf) ich (?:leider )?(?:ihnen |dir )?nicht|(?:leider|es tut mir leid)[^.!?\n]{0,30}\b(?:nicht helfen|nicht beantworten)"
+    r"|(?:lo siento[^.!?\n]{0,15})?no puedo (?:ayudar|asistir|responder)\w*|(?:désolé[^.!?\n]{0,15})?je ne (?:peux|puis) pas (?:vous |t['’])?(?:aider|répondre)"
+    r"|申し訳[^。\n]{0,30}(?:できません|できかねます)|(?:それ|その)[^。\n]{0,20}お手伝いできません)",
+    re.I,
+)
+#: dressings put around a repeated question
+DRESSING = re.compile(r"(?i)^\s*(?:you asked|your question(?: was)?|question|q|prompt|prompted|user|re)\s*[:：-]\s*")
+PROMPTED = re.compile(r"^\s*Prompted\s+")
+#: last lines that are complete without a full stop
+REFERENCE_LINE = re.compile(r"(?i)^(?:see|see also|source|sources|more|cf\.?|related|link|links|ref|author|tel|contact|reply-to|attachments?)\b.{0,80}$")
+COMPLETE_TAIL = re.compile(
+    r"(?:[^\w\s,;:<(\[{/\\=&+-]|\S+@\S+|[\w.-]+\.(?:com|net|org|test|invalid|example)|\S*\d\S*)$"
+)
+OPEN_WORDS = set(FUNCTION_WORDS["en"].split()) - {"it", "me", "here", "there", "this", "that", "do", "does", "i", "you", "we", "they", "on", "in", "my"} | {
+    "my", "this", "that", "because", "although", "while", "since", "after", "near", "within", "during", "between"
+}
+_WORD = re.compile(r"[^\W_]+")
+_FENCE = re.compile(r"(?m)^\s*(?:```|~~~)")
+_TAGS = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*>")
+
+
+def html_text(source: str) -> tuple[str, bool]:
+    """Readable text of an HTML answer, and whether its markup breaks off."""
+    open_at_end, depth = bool(re.search(r"<[^<>]*$|&[a-zA-Z#0-9]{0,8}$", source)), {}
+
+    def tag(m: re.Match) -> str:
+        name = m[2].lower()
+        if name in ("p", "li", "ul", "ol", "pre", "code", "div", "table", "strong", "em"):
+            depth[name] = depth.get(name, 0) + (-1 if m[1] else 1)
+        if name == "li":
+            return "" if m[1] else "\n- "
+        if name in ("p", "br", "div", "ul", "ol", "pre", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6"):
+            return "\n```\n" if name == "pre" else "\n"
+        return ""
+
+    text = _TAGS.sub(tag, source)
+    text = html.unescape(re.sub(r"<[^<>]*$", "", text)).strip()
+    return text, open_at_end or any(v > 0 for v in depth.values())
+
+
+def language(text: str) -> str | None:
+    """Language of a text by script and function words; None where the evidence is thin."""
+    body = re.sub(r"(?s)```.*?(?:```|$)|`[^`\n]*`|https?://\S+", " ", text)
+    letters = len(re.findall(r"[^\W\d_]", body))
+    for lang, script in SCRIPTS:
+        if letters and len(script.findall(body)) > 0.2 * letters:
+            return lang
+    words = [w.lower() for w in _WORD.findall(body)]
+    hits = {k: sum(w in v for w in words) for k, v in _FUNCTION_SETS.items()}
+    order = sorted(hits, key=hits.get, reverse=True)
+    best, second = hits[order[0]], hits[order[1]]
+    if order[0] == "en" and best >= 2 and best > 1.5 * second or best >= 2 and best >= second + 1 and best >= 0.12 * len(words):
+        return order[0]
+    return None
+
+
+_FUNCTION_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+
+
+def is_copy(prompt: list[str], answer: list[str]) -> bool:
+    """The answer's words are the question's, once or several times over."""
+    n = len(prompt)
+    return bool(n) and len(answer) >= n and len(answer) % n == 0 and answer == prompt * (len(answer) // n)
+
+
+def ending(text: str) -> tuple[bool, bool]:
+    """Whether the text breaks off, and whether its end lacks a sentence end at all."""
+    if len(_FENCE.findall(text)) % 2:
+        return True, True
+    line = text.rstrip().rsplit("\n", 1)[-1].strip()
+    if re.match(r"(?:```|~~~)", line):
+        return False, False
+    if line.startswith("|"):
+        return not line.endswith("|"), not line.endswith("|")
+    if COMPLETE_TAIL.search(line):
+        return False, False
+    if line.endswith((",", ";", "(", "[", "{", "=", "<", "&")):
+        return True, True
+    if re.match(r"\d+[.)](?: |$)", line):
+        return True, True
+    words = _WORD.findall(line)
+    if re.match(r"[-*•+](?: |$)", line):
+        return not words or words[-1].lower() in OPEN_WORDS, True
+    if REFERENCE_LINE.match(line) and not re.search(r"[.!?] ", line) and words[-1].lower() not in OPEN_WORDS - {"on"}:
+        return len(words) < 4 and line.lower().startswith("see"), True
+    if re.search(r"(?:author:|by|contact:|ask|dear|regards,?) (?:[A-Z][\w'-]+,? ){1,3}[A-Z][\w'-]+$", line):
+        return False, True
+    if not _WORD.search(line) or len(words) <= 2 and "\n" not in text.strip():
+        return False, True
+    return True, True
+
+
+def judge(prompt: str, answer: str, is_html: bool) -> tuple[str | None, str, bool]:
+    """(defect by the pair's own rules, readable answer, lacks a sentence end)."""
+    broken = False
+    if is_html:
+        prompt = PROMPTED.sub("", prompt)
+        answer, broken = html_text(answer)
+    answer = answer.strip()
+    words = _WORD.findall(answer.lower())
+    if not words:
+        return "empty", answer, False
+    if (m := REFUSALS.match(answer.lstrip("\"'“*_> "))) and len(answer) - m.end() < 160:
+        return "refusal", answer, False
+    asked = _WORD.findall(prompt.lower())
+    if len(words) % max(1, len(asked)) == 0 and is_copy(asked, words) or len(words) < 3 * len(asked) + 12 and is_copy(asked, _WORD.findall(DRESSING.sub("", answer).lower())):
+        return "copy", answer, False
+    if not ASKS_LANGUAGE.search(prompt) and (a := language(answer)) and (p := language(prompt)) and a != p:
+        return "language", answer, False
+    off, bare = ending(answer)
+    return ("truncated" if off or broken else None), answer, bare
+
+
+def with_previous(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Slim rows with ``before``: the row ahead of each in its group's order, also across partitions."""
+    cols = rows.columns
+    runs = in_runs(rows, key, order)
+    last = runs.groupBy(*key, "run").agg(F.max_by(F.struct(*cols), "pos").alias("_last"))
+    carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*key).orderBy("run"))).where(F.col("_carry").isNotNull())
+    return runs.join(carry.select(*key, "run", "_carry"), [*key, "run"], "left").withColumn("before", F.coalesce("before", "_carry")).select(*cols, "before")
+
+
+def prompt_answer_pairs(spark: SparkSession, where: str) -> DataFrame:
+    """``tab, rec_id, prompt, answer, is_html`` of every pair with a non-blank prompt; named by its answer."""
+    zones = account_zones(spark, where)
+    chats = chat_messages(spark, where).where(F.col("conv_id").isNotNull() & F.col("speaker").isin(USER, ASSISTANT) & F.col("is_text"))
+    lines = session_rows(table(spark, where, SESSIONS)).where(F.col("kind").isin(USER, ASSISTANT) & F.col("line_id").isNotNull() & F.col("path").isNotNull())
+    lines = newest(lines.select(F.lit(SESSIONS).alias("tab"), F.col("line_id").cast("string").alias("rec_id"), "path", "line_no", "kind", "text"), ["tab", "rec_id"], ["line_no", "path"])
+    slim = (
+        with_instants(chats.select("tab", "rec_id", "conv_id", "speaker", "account_id", "t_num", "t_text"), zones)
+        .where(F.col("utc_us").isNotNull())
+        .select("tab", F.col("conv_id").alias("grp"), F.col("utc_us").alias("at"), "rec_id", "speaker")
+        .unionByName(lines.select("tab", F.col("path").alias("grp"), F.col("line_no").cast("long").alias("at"), "rec_id", F.col("kind").alias("speaker")))
+    )
+    ordered = with_previous(slim, ["tab", "grp"], ["at", "rec_id"])
+    pairs = ordered.where((F.col("speaker") == ASSISTANT) & (F.col("before.speaker") == USER)).select("tab", "rec_id", F.col("before.rec_id").alias("prompt_id"))
+    parts = pairs.select(
+        "tab", F.col("rec_id").alias("pair"), F.explode(F.array(F.struct("rec_id", F.lit(False).alias("asks")), F.struct(F.col("prompt_id").alias("rec_id"), F.lit(True).alias("asks")))).alias("p")
+    ).select("tab", "pair", "p.rec_id", "p.asks")
+    texts = chats.select("tab", "rec_id", "text").unionByName(lines.select("tab", "rec_id", "text"))
+    spoken = (
+        texts.join(parts, ["tab", "rec_id"])
+        .groupBy("tab", F.col("pair").alias("rec_id"))
+        .agg(F.max(F.when(F.col("asks"), F.col("text"))).alias("prompt"), F.max(F.when(~F.col("asks"), F.col("text"))).alias("answer"))
+        .withColumn("is_html", F.lit(False))
+    )
+    item = table(spark, where, GEMINI).where(F.col("item_id").isNotNull()).select(
+        F.lit(GEMINI).alias("tab"), F.col("item_id").cast("string").alias("rec_id"), F.col("title").alias("prompt"),
+        F.coalesce(F.array_join(F.transform("safe_html_item", lambda x: x["html"]), ""), F.lit("")).alias("answer"),
+    )
+    items = newest(item, ["tab", "rec_id"], ["answer", "prompt"]).withColumn("is_html", F.lit(True))
+    return spoken.unionByName(items).where(F.col("prompt").rlike(r"(?U)\S"))
+
+
+_JUDGED = "tab string, rec_id string, defect string, bare boolean, size int, part int, edge string, edge_first boolean"
+
+
+def _judge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come in descending order of their text, so the row ahead is the next larger one."""
+    part, larger, current, first = TaskContext.get().partitionId(), None, None, True
+    for pdf in batches:
+        out = []
+        for tab, rec, prompt, answer, is_html in zip(pdf.tab, pdf.rec_id, pdf.prompt, pdf.answer, pdf.is_html):
+            if answer != current:
+                larger, current = current, answer
+            defect, text, bare = judge(prompt, answer, is_html)
+            if defect is None and bare and len(answer) > 20 and larger is not None and larger.startswith(answer):
+                defect = "truncated"
+            # the smallest text of a partition meets its next larger in the partition before
+            edge = answer if first or (bare and defect is None and larger is None) else None
+            out.append((tab, rec, defect, bare, len(text), part, edge, first))
+            first = False
+        yield pd.DataFrame(out, columns=["tab", "rec_id", "defect", "bare", "size", "part", "edge", "edge_first"])
+    if current is not None:
+        yield pd.DataFrame([(None, None, None, False, 0, part, current, None)], columns=["tab", "rec_id", "defect", "bare", "size", "part", "edge", "edge_first"])
+
+
+def length_spikes(sizes: DataFrame, least: int = 200, span: int = 12, factor: float = 6.0) -> DataFrame:
+    """Lengths far more frequent than the ``2 * span`` lengths around them (a limit cuts many answers there).
+
+    A spike has more than ``mean + factor * sqrt(mean + 1) + 8`` answers, where mean is over the lengths
+    around it. The histogram has one row per length, so the self-join is over lengths, not answers.
+    """
+    hist = sizes.where(F.col("size") >= least).groupBy("size").agg(F.count("*").alias("n"))
+    near = hist.select((F.explode(F.sequence(F.col("size") - span, F.col("size") + span))).alias("at"), F.col("size").alias("from"), "n")
+    around = near.where(F.col("at") != F.col("from")).groupBy(F.col("at").alias("size")).agg((F.sum("n") / (2 * span)).alias("mean"))
+    found = hist.join(around, "size", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    return found.where(F.col("n") > F.col("mean") + factor * F.sqrt(F.col("mean") + 1) + 8).select("size", F.lit(True).alias("spike"))
+
+
+def defects(pairs: DataFrame) -> DataFrame:
+    """``tab, rec_id, defect`` of the defective pairs of :func:`prompt_answer_pairs`."""
+    n = parallelism(pairs.sparkSession)
+    spread = pairs.select("tab", "rec_id", "prompt", F.coalesce("answer", F.lit("")).alias("answer"), "is_html")
+    spread = spread.repartitionByRange(n, F.col("answer").desc(), F.col("tab"), F.col("rec_id")).sortWithinPartitions(F.col("answer").desc(), "tab", "rec_id")
+    judged = cut(spread.mapInPandas(_judge_sorted, _JUDGED))
+    rows = judged.where(F.col("rec_id").isNotNull())
+    # Largest open text of a partition against the smallest text of the partitions before it.
+    # There is one such row per partition that isn't empty; each goes to the next of those.
+    tails = judged.where(F.col("rec_id").isNull()).select(F.lead("part").over(Window.orderBy("part")).alias("part"), F.col("edge").alias("ahead"))
+    rows = rows.join(tails, "part", "left")
+    short = F.col("edge").isNotNull() & F.col("bare") & (F.length("edge") > 20) & F.coalesce(F.col("ahead").startswith(F.col("edge")) & (F.col("ahead") != F.col("edge")), F.lit(False))
+    rows = rows.join(length_spikes(rows), "size", "left")
+    late = F.when(short | (F.col("bare") & F.coalesce("spike", F.lit(False))), "truncated")
+    return rows.withColumn("defect", F.coalesce("defect", late)).where(F.col("defect").isNotNull()).select("tab", "rec_id", "defect").distinct()
