@@ -1,0 +1,26 @@
+"""The core's registered queries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from convograph.sources.exports import instants
+
+
+def p3_found(spark: SparkSession, where: str) -> DataFrame:
+    """Every record of the four exports with a determinable instant."""
+    return instants(spark, where)
+
+
+def flagship(spark: SparkSession, where: str) -> DataFrame:
+    return p3_found(spark, where)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"p3_found": p3_found}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
