@@ -115,8 +115,8 @@ SELECT DISTINCT tab, rec_id FROM (
     SELECT line_id, CASE json_type(line, '$.message.content')
       WHEN 'VARCHAR' THEN json_extract_string(line, '$.message.content')
       ELSE array_to_string(list_transform(list_filter(CAST(json_extract(line, '$.message.content') AS JSON[]),
-        b -> json_extract_string(b, '$.type') = 'text' AND regexp_matches(json_extract_string(b, '$.text'), '\\S')),
-        b -> json_extract_string(b, '$.text')), chr(10) || chr(10)) END AS body
+        lambda b: json_extract_string(b, '$.type') = 'text' AND regexp_matches(json_extract_string(b, '$.text'), '\\S')),
+        lambda b: json_extract_string(b, '$.text')), chr(10) || chr(10)) END AS body
     FROM session_lines WHERE json_valid(line)) s) t
 JOIN size_limits ON table_name = tab WHERE n > max_chars""",
         "p5_found": scored.format(more=""),
