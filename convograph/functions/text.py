@@ -42,7 +42,8 @@ def one_spaced(x: Column) -> Column:
 def title_case(x: Column) -> Column:
     """Python ``str.title``: every run of letters starts upper case and continues lower case."""
     runs = F.regexp_extract_all(x, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1_000_000)))), "")
+    first = lambda r: F.upper(F.substring(r, 1, 1))  # noqa: E731  (may be two letters, as for ligatures)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.substring(first(r), 1, 1), F.lower(F.substring(first(r), 2, 9)), F.lower(F.substring(r, 2, 2**31 - 1)))), "")
 
 
 def short_hash(x: Column, digits: int = 6) -> Column:
