@@ -1,0 +1,44 @@
+"""Every core query with an SQL twin gives the same rows as DuckDB on the smallest tables."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+from convograph.plans import catalogue
+
+QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+
+
+@pytest.fixture(scope="session")
+def duck(small):
+    con = duckdb.connect()
+    for f in os.listdir(small):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{small}/{f}'")
+    return con
+
+
+def rows(df):
+    df = df[sorted(df.columns)]
+    return sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql(spark, duck, small, name):
+    a, b = QUERIES[name](spark, small).toPandas(), duck.execute(SQL[name]).df()
+    assert sorted(a.columns) == sorted(b.columns)
+    assert rows(a) == rows(b)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, small, name):
+    assert QUERIES[name](spark, small).columns
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() >= 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
