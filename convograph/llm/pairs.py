@@ -1,9 +1,9 @@
 """Prompt–answer pairs of all exports, and the defect of each broken pair.
 
-Method. Pairs come from neighbours in time (chats) or line order (sessions). The answers are range-sorted by
-text in one pass that compares each with the next larger distinct text: an answer that is a proper prefix of
-it and breaks off is a shortened version. The same pass applies the copy, refusal, language and ending rules,
-and returns slim rows only. A histogram of all answer lengths then shows length-limit spikes; an answer of a
+Method. Pairs come from neighbours in time (chats) or line order (sessions) and are range-sorted by the text of
+the answer. One pass applies the copy, refusal, language and ending rules and compares each answer with the
+next larger distinct text: an answer that is a proper prefix of it and has no sentence end is a shortened
+version. The pass returns slim rows only. A histogram of all answer lengths then shows length-limit spikes; an answer of a
 spike's length that doesn't end like a sentence is truncated too.
 
 Defects, the first that holds: ``empty``, ``refusal``, ``copy``, ``language``, ``truncated``.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from convograph.llm.conversations import ASSISTANT, USER, in_runs
 from convograph.session import cut, parallelism
 from convograph.sources.exports import (
-    GEMINI, SESSIONS, account_zones, chat_messages, newest, session_rows, table, with_instants,
+    CHATGPT, CLAUDE, GEMINI, SESSIONS, account_zones, chatgpt_messages, claude_messages, newest, session_rows, table, with_instants,
 )
 
 # ---------------------------------------------------------------- fixed values
@@ -107,12 +107,16 @@ def html_text(source: str) -> tuple[str, bool]:
 def language(text: str) -> str | None:
     """Language of a text by script and function words; None where the evidence is thin."""
     body = re.sub(r"(?s)```.*?(?:```|$)|`[^`\n]*`|https?://\S+", " ", text)
-    letters = len(re.findall(r"[^\W\d_]", body))
-    for lang, script in SCRIPTS:
-        if letters and len(script.findall(body)) > 0.2 * letters:
-            return lang
-    words = [w.lower() for w in _WORD.findall(body)]
-    hits = {k: sum(w in v for w in words) for k, v in _FUNCTION_SETS.items()}
+    if not body.isascii():
+        letters = len(re.findall(r"[^\W\d_]", body))
+        for lang, script in SCRIPTS:
+            if letters and len(script.findall(body)) > 0.2 * letters:
+                return lang
+    words = _WORD.findall(body.lower())
+    hits = dict.fromkeys(FUNCTION_WORDS, 0)
+    for langs in filter(None, map(_LANGUAGES_OF.get, words)):
+        for lang in langs:
+            hits[lang] += 1
     order = sorted(hits, key=hits.get, reverse=True)
     best, second = hits[order[0]], hits[order[1]]
     if order[0] == "en" and best >= 2 and best > 1.5 * second or best >= 2 and best >= second + 1 and best >= 0.12 * len(words):
@@ -120,7 +124,10 @@ def language(text: str) -> str | None:
     return None
 
 
-_FUNCTION_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES_OF: dict[str, tuple[str, ...]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _w in set(_words.split()):
+        _LANGUAGES_OF[_w] = (*_LANGUAGES_OF.get(_w, ()), _lang)
 
 
 def is_copy(prompt: list[str], answer: list[str]) -> bool:
@@ -138,7 +145,7 @@ def ending(text: str) -> tuple[bool, bool]:
         return False, False
     if line.startswith("|"):
         return not line.endswith("|"), not line.endswith("|")
-    if COMPLETE_TAIL.search(line):
+    if line and COMPLETE_TAIL.search(line.rsplit(None, 1)[-1]):  # its alternatives lie within one stretch
         return False, False
     if line.endswith((",", ";", "(", "[", "{", "=", "<", "&")):
         return True, True
@@ -171,7 +178,7 @@ def judge(prompt: str, answer: str, is_html: bool) -> tuple[str | None, str, boo
     asked = _WORD.findall(prompt.lower())
     if len(words) % max(1, len(asked)) == 0 and is_copy(asked, words) or len(words) < 3 * len(asked) + 12 and is_copy(asked, _WORD.findall(DRESSING.sub("", answer).lower())):
         return "copy", answer, False
-    if not ASKS_LANGUAGE.search(prompt) and (a := language(answer)) and (p := language(prompt)) and a != p:
+    if (a := language(answer)) and (p := language(prompt)) and a != p and not ASKS_LANGUAGE.search(prompt):
         return "language", answer, False
     off, bare = ending(answer)
     return ("truncated" if off or broken else None), answer, bare
@@ -187,25 +194,30 @@ def with_previous(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
 
 
 def prompt_answer_pairs(spark: SparkSession, where: str) -> DataFrame:
-    """``tab, rec_id, prompt, answer, is_html`` of every pair with a non-blank prompt; named by its answer."""
+    """``tab, rec_id, prompt, answer, is_html`` of every pair with a non-blank prompt; named by its answer.
+
+    Which row of a message counts, and the order, are found on rows without text; texts join once, by row.
+    """
     zones = account_zones(spark, where)
-    chats = chat_messages(spark, where).where(F.col("conv_id").isNotNull() & F.col("speaker").isin(USER, ASSISTANT) & F.col("is_text"))
+    chats = chatgpt_messages(table(spark, where, CHATGPT)).unionByName(claude_messages(table(spark, where, CLAUDE))).where(F.col("rec_id").isNotNull())
+    slim = ["tab", "rec_id", "conv_id", "export_id", "row_id", "speaker", "is_text", "account_id", "t_num", "t_text"]
+    counts = newest(chats.select(slim), ["tab", "rec_id"], ["export_id", "row_id"])
+    counts = counts.where(F.col("conv_id").isNotNull() & F.col("speaker").isin(USER, ASSISTANT) & F.col("is_text"))
     lines = session_rows(table(spark, where, SESSIONS)).where(F.col("kind").isin(USER, ASSISTANT) & F.col("line_id").isNotNull() & F.col("path").isNotNull())
-    lines = newest(lines.select(F.lit(SESSIONS).alias("tab"), F.col("line_id").cast("string").alias("rec_id"), "path", "line_no", "kind", "text"), ["tab", "rec_id"], ["line_no", "path"])
-    slim = (
-        with_instants(chats.select("tab", "rec_id", "conv_id", "speaker", "account_id", "t_num", "t_text"), zones)
+    lines = lines.select(F.lit(SESSIONS).alias("tab"), F.col("line_id").cast("string").alias("rec_id"), F.col("line_id").cast("long").alias("row_id"), "path", F.col("line_no").cast("long").alias("at"), F.col("kind").alias("speaker"), "text")
+    turns = (
+        with_instants(counts, zones)
         .where(F.col("utc_us").isNotNull())
-        .select("tab", F.col("conv_id").alias("grp"), F.col("utc_us").alias("at"), "rec_id", "speaker")
-        .unionByName(lines.select("tab", F.col("path").alias("grp"), F.col("line_no").cast("long").alias("at"), "rec_id", F.col("kind").alias("speaker")))
+        .select("tab", F.col("conv_id").alias("grp"), F.col("utc_us").alias("at"), "rec_id", "row_id", "speaker")
+        .unionByName(lines.select("tab", F.col("path").alias("grp"), "at", "rec_id", "row_id", "speaker").distinct())
     )
-    ordered = with_previous(slim, ["tab", "grp"], ["at", "rec_id"])
-    pairs = ordered.where((F.col("speaker") == ASSISTANT) & (F.col("before.speaker") == USER)).select("tab", "rec_id", F.col("before.rec_id").alias("prompt_id"))
-    parts = pairs.select(
-        "tab", F.col("rec_id").alias("pair"), F.explode(F.array(F.struct("rec_id", F.lit(False).alias("asks")), F.struct(F.col("prompt_id").alias("rec_id"), F.lit(True).alias("asks")))).alias("p")
-    ).select("tab", "pair", "p.rec_id", "p.asks")
-    texts = chats.select("tab", "rec_id", "text").unionByName(lines.select("tab", "rec_id", "text"))
+    ordered = with_previous(turns, ["tab", "grp"], ["at", "rec_id"])
+    pairs = ordered.where((F.col("speaker") == ASSISTANT) & (F.col("before.speaker") == USER))
+    ends = F.array(F.struct("rec_id", "row_id", F.lit(False).alias("asks")), F.struct(F.col("before.rec_id").alias("rec_id"), F.col("before.row_id").alias("row_id"), F.lit(True).alias("asks")))
+    parts = pairs.select("tab", F.col("rec_id").alias("pair"), F.inline(ends))
+    texts = chats.select("tab", "rec_id", F.col("row_id").cast("long").alias("row_id"), "text").unionByName(lines.select("tab", "rec_id", "row_id", "text"))
     spoken = (
-        texts.join(parts, ["tab", "rec_id"])
+        texts.join(parts.withColumn("row_id", F.col("row_id").cast("long")), ["tab", "rec_id", "row_id"])
         .groupBy("tab", F.col("pair").alias("rec_id"))
         .agg(F.max(F.when(F.col("asks"), F.col("text"))).alias("prompt"), F.max(F.when(~F.col("asks"), F.col("text"))).alias("answer"))
         .withColumn("is_html", F.lit(False))
@@ -218,27 +230,27 @@ def prompt_answer_pairs(spark: SparkSession, where: str) -> DataFrame:
     return spoken.unionByName(items).where(F.col("prompt").rlike(r"(?U)\S"))
 
 
-_JUDGED = "tab string, rec_id string, defect string, bare boolean, size int, part int, edge string, edge_first boolean"
+_SORTED = "tab string, rec_id string, defect string, bare boolean, size int, part int, edge string"
 
 
 def _judge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come in descending order of their text, so the row ahead is the next larger one."""
-    part, larger, current, first = TaskContext.get().partitionId(), None, None, True
+    """Judges pairs that come in descending order of their answer, so the text ahead is the next larger one."""
+    part, larger, current = TaskContext.get().partitionId(), None, None
+    columns = ["tab", "rec_id", "defect", "bare", "size", "part", "edge"]
     for pdf in batches:
         out = []
         for tab, rec, prompt, answer, is_html in zip(pdf.tab, pdf.rec_id, pdf.prompt, pdf.answer, pdf.is_html):
             if answer != current:
                 larger, current = current, answer
             defect, text, bare = judge(prompt, answer, is_html)
-            if defect is None and bare and len(answer) > 20 and larger is not None and larger.startswith(answer):
+            open_end = defect is None and bare and len(answer) > 20
+            if open_end and larger is not None and larger.startswith(answer):
                 defect = "truncated"
-            # the smallest text of a partition meets its next larger in the partition before
-            edge = answer if first or (bare and defect is None and larger is None) else None
-            out.append((tab, rec, defect, bare, len(text), part, edge, first))
-            first = False
-        yield pd.DataFrame(out, columns=["tab", "rec_id", "defect", "bare", "size", "part", "edge", "edge_first"])
+            # the largest text of a partition meets its next larger in the partition before
+            out.append((tab, rec, defect, bare, len(text), part, answer if open_end and larger is None else None))
+        yield pd.DataFrame(out, columns=columns)
     if current is not None:
-        yield pd.DataFrame([(None, None, None, False, 0, part, current, None)], columns=["tab", "rec_id", "defect", "bare", "size", "part", "edge", "edge_first"])
+        yield pd.DataFrame([(None, None, None, False, 0, part, current)], columns=columns)
 
 
 def length_spikes(sizes: DataFrame, least: int = 200, span: int = 12, factor: float = 6.0) -> DataFrame:
@@ -257,15 +269,15 @@ def length_spikes(sizes: DataFrame, least: int = 200, span: int = 12, factor: fl
 def defects(pairs: DataFrame) -> DataFrame:
     """``tab, rec_id, defect`` of the defective pairs of :func:`prompt_answer_pairs`."""
     n = parallelism(pairs.sparkSession)
-    spread = pairs.select("tab", "rec_id", "prompt", F.coalesce("answer", F.lit("")).alias("answer"), "is_html")
-    spread = spread.repartitionByRange(n, F.col("answer").desc(), F.col("tab"), F.col("rec_id")).sortWithinPartitions(F.col("answer").desc(), "tab", "rec_id")
-    judged = cut(spread.mapInPandas(_judge_sorted, _JUDGED))
+    told = pairs.select("tab", "rec_id", "prompt", F.coalesce("answer", F.lit("")).alias("answer"), "is_html")
+    spread = told.repartitionByRange(n, F.col("answer").desc(), F.col("tab"), F.col("rec_id")).sortWithinPartitions(F.col("answer").desc(), "tab", "rec_id")
+    judged = cut(spread.mapInPandas(_judge_sorted, _SORTED))  # after the sort, whose sampling would else judge all twice
     rows = judged.where(F.col("rec_id").isNotNull())
     # Largest open text of a partition against the smallest text of the partitions before it.
     # There is one such row per partition that isn't empty; each goes to the next of those.
     tails = judged.where(F.col("rec_id").isNull()).select(F.lead("part").over(Window.orderBy("part")).alias("part"), F.col("edge").alias("ahead"))
     rows = rows.join(tails, "part", "left")
-    short = F.col("edge").isNotNull() & F.col("bare") & (F.length("edge") > 20) & F.coalesce(F.col("ahead").startswith(F.col("edge")) & (F.col("ahead") != F.col("edge")), F.lit(False))
+    short = F.col("edge").isNotNull() & F.coalesce(F.col("ahead").startswith(F.col("edge")) & (F.col("ahead") != F.col("edge")), F.lit(False))
     rows = rows.join(length_spikes(rows), "size", "left")
     late = F.when(short | (F.col("bare") & F.coalesce("spike", F.lit(False))), "truncated")
     return rows.withColumn("defect", F.coalesce("defect", late)).where(F.col("defect").isNotNull()).select("tab", "rec_id", "defect").distinct()
