@@ -84,8 +84,10 @@ def entity_scores(model: DataFrame, regex: DataFrame, key: str = "doc_id", least
 def topic_scores(keywords: DataFrame, phrases: DataFrame, key: str = "doc_id", least: int = config.TOPIC_LEAST, most: int = config.TOPICS_PER_DOC) -> DataFrame:
     """Topics from keywords (2 points each) and noun phrases (1 point each), scored by title-cased surface."""
     both = keywords.withColumn("points", F.lit(2)).unionByName(phrases.withColumn("points", F.lit(1)))
-    low = both.withColumn("surface", one_spaced(F.lower("surface"))).where(valid_topic(F.col("surface")))
-    return scored(low.withColumn("surface", title_case(F.col("surface"))), least, most, key)
+    low = both.groupBy(key, one_spaced(F.lower("surface")).alias("low")).agg(F.sum("points").alias("points"), F.min("pos").alias("pos"), F.min(one_spaced(F.lower("surface"))).alias("shown"))
+    # ``shown`` keeps the many regular expressions of the filter above the aggregation: once per distinct surface.
+    valid = low.where(valid_topic(F.col("shown"))).select(key, "pos", title_case(F.col("shown")).alias("surface"), "points")
+    return scored(valid, least, most, key)
 
 
 # ---------------------------------------------------------------- offline providers
