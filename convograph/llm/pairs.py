@@ -230,27 +230,29 @@ def prompt_answer_pairs(spark: SparkSession, where: str) -> DataFrame:
     return spoken.unionByName(items).where(F.col("prompt").rlike(r"(?U)\S"))
 
 
-_SORTED = "tab string, rec_id string, defect string, bare boolean, size int, part int, edge string"
+#: rows with a ``rec_id`` are pairs; one without per partition holds its first text, its last, and the next larger than the last
+_SORTED = "tab string, rec_id string, defect string, bare boolean, size int, part int, edge boolean, ends array<string>"
 
 
 def _judge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Judges pairs that come in descending order of their answer, so the text ahead is the next larger one."""
-    part, larger, current = TaskContext.get().partitionId(), None, None
-    columns = ["tab", "rec_id", "defect", "bare", "size", "part", "edge"]
+    part, first, larger, current = TaskContext.get().partitionId(), None, None, None
+    columns = ["tab", "rec_id", "defect", "bare", "size", "part", "edge", "ends"]
     for pdf in batches:
         out = []
         for tab, rec, prompt, answer, is_html in zip(pdf.tab, pdf.rec_id, pdf.prompt, pdf.answer, pdf.is_html):
             if answer != current:
                 larger, current = current, answer
+                first = answer if first is None else first
             defect, text, bare = judge(prompt, answer, is_html)
             open_end = defect is None and bare and len(answer) > 20
             if open_end and larger is not None and larger.startswith(answer):
                 defect = "truncated"
-            # the largest text of a partition meets its next larger in the partition before
-            out.append((tab, rec, defect, bare, len(text), part, answer if open_end and larger is None else None))
+            # the largest text of a partition meets its next larger in a partition before
+            out.append((tab, rec, defect, bare, len(text), part, open_end and larger is None, None))
         yield pd.DataFrame(out, columns=columns)
     if current is not None:
-        yield pd.DataFrame([(None, None, None, False, 0, part, current)], columns=columns)
+        yield pd.DataFrame([(None, None, None, False, 0, part, False, [first, current, larger])], columns=columns)
 
 
 def length_spikes(sizes: DataFrame, least: int = 200, span: int = 12, factor: float = 6.0) -> DataFrame:
@@ -273,11 +275,15 @@ def defects(pairs: DataFrame) -> DataFrame:
     spread = told.repartitionByRange(n, F.col("answer").desc(), F.col("tab"), F.col("rec_id")).sortWithinPartitions(F.col("answer").desc(), "tab", "rec_id")
     judged = cut(spread.mapInPandas(_judge_sorted, _SORTED))  # after the sort, whose sampling would else judge all twice
     rows = judged.where(F.col("rec_id").isNotNull())
-    # Largest open text of a partition against the smallest text of the partitions before it.
-    # There is one such row per partition that isn't empty; each goes to the next of those.
-    tails = judged.where(F.col("rec_id").isNull()).select(F.lead("part").over(Window.orderBy("part")).alias("part"), F.col("edge").alias("ahead"))
-    rows = rows.join(tails, "part", "left")
-    short = F.col("edge").isNotNull() & F.coalesce(F.col("ahead").startswith(F.col("edge")) & (F.col("ahead") != F.col("edge")), F.lit(False))
+    # The next larger text of a partition's first one may lie several partitions before, where copies of one
+    # answer fill them. It is the last text of a partition, or the next larger than such a last text: three
+    # texts per partition are ordered, not pairs.
+    ends = judged.where(F.col("rec_id").isNull()).select("part", "ends")
+    texts = ends.select(F.explode("ends").alias("first")).where(F.col("first").isNotNull()).distinct()
+    ahead = texts.withColumn("ahead", F.lead("first").over(Window.orderBy("first")))
+    cuts = ends.withColumn("first", F.col("ends")[0]).join(ahead, "first").select("part", F.coalesce(F.col("ahead").startswith(F.col("first")), F.lit(False)).alias("cuts"))
+    rows = rows.join(F.broadcast(cuts), "part", "left")  # a number and a flag per partition
+    short = F.col("edge") & F.coalesce("cuts", F.lit(False))
     rows = rows.join(length_spikes(rows), "size", "left")
     late = F.when(short | (F.col("bare") & F.coalesce("spike", F.lit(False))), "truncated")
     return rows.withColumn("defect", F.coalesce("defect", late)).where(F.col("defect").isNotNull()).select("tab", "rec_id", "defect").distinct()

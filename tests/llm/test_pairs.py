@@ -40,6 +40,14 @@ def test_neighbours_and_spikes(spark):
     assert P.defects(spark.createDataFrame([], "tab string, rec_id string, prompt string, answer string, is_html boolean")).count() == 0
 
 
+def test_hot_answer_over_partitions(spark):
+    """A shortened answer copied over several partitions is found in all of them."""
+    whole = "The plan of the work is here:\n\n- the first item\n- the long room"
+    rows = [("t", f"h{i:03}", Q, whole[:-3], False) for i in range(400)] + [("t", "whole", Q, whole + " and more.", False), ("t", "z", Q, "Zero is less than one.", False), ("t", "a", Q, "A thing is done.", False)]
+    told = spark.createDataFrame(rows, "tab string, rec_id string, prompt string, answer string, is_html boolean")
+    assert {(r.rec_id, r.defect) for r in P.defects(told).collect()} == {(f"h{i:03}", "truncated") for i in range(400)}
+
+
 def test_previous_across_partitions(spark):
     rows = [("t", "hot", i, f"r{i:03}", "user") for i in range(200)] + [("t", "b", 1, "x", "user"), ("t", "b", 0, "y", "user")]
     out = P.with_previous(spark.createDataFrame(rows, "tab string, grp string, at long, rec_id string, speaker string"), ["tab", "grp"], ["at", "rec_id"])
