@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
 from typing import NamedTuple
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convograph.llm.pairs import FUNCTION_WORDS
+from convograph.session import cut
 from convograph.sources.exports import CHATGPT, SESSIONS, session_rows, table
 
 KINDS = ("email", "phone", "idnum", "address", "name")
@@ -481,24 +483,48 @@ def fit(known_names: list[tuple[str, str]], ordinary: list[str]) -> Finder:
     return Finder(NameModel(given, family, other), train(training_sentences(given, family), half))
 
 
+#: ordinary words are met LEAST times in texts, and make up one in RARE of the words counted in their table; so there are at most RARE per table
+LEAST, RARE = 5, 75_000
+
+
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        counts: Counter[tuple[str, str]] = Counter()
+        for kind, text in zip(pdf.kind, pdf.text):
+            if kind == "text":
+                counts.update((kind, w) for w in re.findall(r"[^\W\d_]+", text) if w.islower())
+            else:
+                counts.update((kind, w) for w in re.split(r"[\W\d_]+", text.lower()) if w)
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "word", "n"])
+
+
+def frequent_words(texts: DataFrame, nodes: DataFrame, least: int = LEAST, rare: int = RARE) -> list[str]:
+    """Lower-case words of ``texts`` and parts of ``nodes`` (both ``text``), counted over all rows.
+
+    Words of texts are met ``least`` times or more; both make up one in ``rare`` of their kind at least, so the
+    vocabulary has at most ``2 * rare`` words at any size and doesn't grow with the table.
+    """
+    both = texts.select(F.lit("text").alias("kind"), "text").unionByName(nodes.select(F.lit("node").alias("kind"), "text"))
+    counted = both.where(F.col("text").isNotNull()).mapInPandas(_count_words, "kind string, word string, n long")
+    counts = cut(counted.groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    total = counts.groupBy("kind").agg(F.sum("n").alias("total"))
+    kept = counts.join(F.broadcast(total), "kind").where((F.col("n") * rare >= F.col("total")) & ((F.col("kind") == "node") | (F.col("n") >= least)))
+    return [r.word for r in kept.select("word").distinct().collect()]
+
+
 def fitted(spark: SparkSession, where: str, max_names: int = 20_000, max_rows: int = 3_000) -> Finder:
-    """Fits on the known names (at most ``max_names``) and on ordinary words: those of the graded samples, the
-    lower-case words met five times or more in chunks, and the parts of node names, from at most ``max_rows``
-    rows of each."""
+    """Fits on the known names (at most ``max_names``) and on ordinary words: those of at most ``max_rows`` graded
+    samples, and the frequent words of all chunks and node names."""
     names = [(r.name, r.name_kind) for r in table(spark, where, "known_names").where("name is not null").orderBy("name", "name_kind").limit(max_names).collect()]
-    some = lambda name, col: [r[0] for r in table(spark, where, name).where(F.col(col).isNotNull()).select(col).limit(max_rows).collect()]
-    return fit(names, ordinary_words(some("level_samples", "text"), some("chunks", "text"), some("edges", "source")))
+    samples = [r[0] for r in table(spark, where, "level_samples").where("text is not null").select("text").limit(max_rows).collect()]
+    nodes = table(spark, where, "edges").select(F.col("source").alias("text"))
+    return fit(names, ordinary_words(samples, frequent_words(table(spark, where, "chunks").select("text"), nodes)))
 
 
-def ordinary_words(samples: list[str], texts: list[str], nodes: list[str], least: int = 5) -> list[str]:
+def ordinary_words(samples: list[str], frequent: list[str]) -> list[str]:
     """Words that stand for "no name", sorted."""
-    counts: dict[str, int] = {}
-    for t in texts:
-        for w in re.findall(r"[^\W\d_]+", t):
-            if w.islower():
-                counts[w] = counts.get(w, 0) + 1
-    words = {w.lower() for t in samples for w in re.findall(r"[^\W\d_]+", t)} | {w for w, c in counts.items() if c >= least}
-    return sorted(words | {w for t in nodes for w in re.split(r"[\W\d_]+", t.lower()) if w} | {w for v in FUNCTION_WORDS.values() for w in v.split()})
+    words = {w.lower() for t in samples for w in re.findall(r"[^\W\d_]+", t)}
+    return sorted(words | set(frequent) | {w for v in FUNCTION_WORDS.values() for w in v.split()})
 
 
 def personal_texts(spark: SparkSession, where: str) -> DataFrame:

@@ -72,3 +72,14 @@ def test_operator_on_odd_rows(spark, finder):
     assert found.count() == 3000 and found.select("val").distinct().count() == 1
     assert P.redacted(rows, finder).where("rec_id = '1'").first().text is None
     assert P.found_spans(rows.where("false"), finder).count() == 0
+
+
+def test_ordinary_words_come_from_all_rows(spark, tmp_path):
+    """A word met only after the first 3,000 rows counts, in chunks and in node names; a rare one doesn't."""
+    texts = [(i, "the stone of the garden") for i in range(3_000)] + [(3_000 + i, "a plumbick of it") for i in range(200)] + [(4_000, "some rarely")]
+    spark.createDataFrame(texts, "row_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(i, f"vector_index {i}") for i in range(3_000)] + [(3_000, "tarn_gelbick")], "i long, source string").coalesce(1).write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame([(g, "given") for g in GIVEN] + [(f, "family") for f in FAMILY], "name string, name_kind string").write.parquet(f"{tmp_path}/known_names.parquet")
+    spark.createDataFrame([("A line.",)], "text string").write.parquet(f"{tmp_path}/level_samples.parquet")
+    ordinary = P.fitted(spark, str(tmp_path)).model.ordinary
+    assert {"plumbick", "garden", "tarn", "gelbick", "index"} <= ordinary and "rarely" not in ordinary
