@@ -125,8 +125,9 @@ def file_union(spark: SparkSession, where: str) -> DataFrame:
     none = spark.createDataFrame([], "platform string, path string")
     chat = render_chatgpt_days(spark, where).select(F.lit("chatgpt").alias("platform"), "path")
     claude = render_claude_days(spark, where).select(F.lit("claude").alias("platform"), "path")
+    gemini = render_gemini_days(spark, where).select(F.lit("gemini").alias("platform"), "path")
     sessions = render_sessions(spark, where).select(F.lit("claude-code").alias("platform"), F.concat(F.lit("conversations/claude-code/"), "name").alias("path"))
-    return chat.unionByName(claude).unionByName(sessions).unionByName(none).groupBy("platform", "path").agg(F.count("*").alias("n"))
+    return chat.unionByName(claude).unionByName(gemini).unionByName(sessions).unionByName(none).groupBy("platform", "path").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- scalars

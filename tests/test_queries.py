@@ -37,6 +37,13 @@ def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).columns
 
 
+def test_union_holds_all_platforms(spark, small):
+    found = catalogue.file_union(spark, small)
+    assert {r.platform for r in found.select("platform").distinct().collect()} == {"chatgpt", "claude", "gemini", "claude-code"}
+    gemini = found.where("platform = 'gemini'").agg({"n": "sum"}).first()[0]
+    assert gemini == catalogue.render_gemini_days(spark, small).count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
