@@ -14,7 +14,8 @@ Defined results
 * An offset or zone in the value wins over the account's zone; a value without either is read in the
   account's zone, and is NULL where the account has none.
 * A wall time that occurs twice or never in its zone → NULL.
-* A date alone, without a time of day, is no instant → NULL.
+* A date alone, without a time of day, is no instant → NULL. Years 1 to 9999 count.
+* Abbreviations mean what ``ABBREVIATIONS`` says, also those used in several regions (``ist``, ``cst``, ``bst``).
 """
 
 from __future__ import annotations
@@ -79,14 +80,32 @@ def slot_plan(mask: str) -> dict[str, tuple[int, int]] | None:
     return None
 
 
+@lru_cache(maxsize=1)
 def zone_data_version() -> str:
-    """Release of the time-zone database the transition tables are built from."""
+    """Release of the time-zone database the transition tables are built from (its digest where it names none)."""
+    import hashlib
+    import zoneinfo
+    from pathlib import Path
+
+    for folder in map(Path, zoneinfo.TZPATH):
+        for name in ("+VERSION", "tzdata.zi"):
+            if (at := folder / name).exists():
+                return at.open().readline().split()[-1]
+        if (folder / "UTC").exists():
+            every = hashlib.sha256()
+            for at in sorted(p for p in folder.rglob("*") if p.is_file() and p.parts[len(folder.parts)] not in ("posix", "right")):
+                every.update(at.name.encode() + at.read_bytes())
+            return every.hexdigest()[:16]
     try:
         import tzdata
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "system"
+        return "none"
+
+
+#: wall seconds for which transition tables serve (1971 to 2099); other years are looked up one by one
+_TABLE_FROM, _TABLE_TO = 31_536_000, 4_102_444_800 - 31_536_000
 
 
 class ZoneTable:
@@ -98,7 +117,7 @@ class ZoneTable:
         zone, step = zoneinfo.ZoneInfo(name), timedelta(days=4)
         at = lambda t: int(t.astimezone(zone).utcoffset().total_seconds())
         t, end = datetime(1970, 1, 1, tzinfo=timezone.utc), datetime(2100, 1, 1, tzinfo=timezone.utc)
-        times, offsets = [], [at(t)]
+        self.zone, times, offsets = zone, [], [at(t)]
         while t < end:
             nxt = t + step
             if (o := at(nxt)) != offsets[-1]:
@@ -114,8 +133,27 @@ class ZoneTable:
     def offset_at(self, utc: np.ndarray) -> np.ndarray:
         return self.offsets[np.searchsorted(self.times, utc, side="right")]
 
+    def _rare(self, wall: int) -> tuple[int, bool]:
+        """The same for one wall time before or after the table's years."""
+        try:
+            local = datetime(1970, 1, 1) + timedelta(seconds=wall)
+            found = set()
+            for fold in (0, 1):
+                utc = local.replace(tzinfo=self.zone, fold=fold).astimezone(timezone.utc)
+                if utc.astimezone(self.zone).replace(tzinfo=None) == local:
+                    found.add(int((utc.replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds()))
+            return (found.pop(), True) if len(found) == 1 else (wall, False)
+        except OverflowError:
+            return wall, False
+
     def to_utc(self, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTC seconds of wall-clock seconds, and whether exactly one instant has that wall time."""
+        outside = (wall < _TABLE_FROM) | (wall >= _TABLE_TO)
+        if outside.any():
+            utc, sure = wall.copy(), np.zeros(len(wall), bool)
+            utc[~outside], sure[~outside] = self.to_utc(wall[~outside])
+            utc[outside], sure[outside] = map(np.array, zip(*map(self._rare, wall[outside].tolist())))
+            return utc, sure
         early, late = self.offset_at(wall - 86_400), self.offset_at(wall + 86_400)
         a, b = wall - early, wall - late
         fits_a, fits_b = self.offset_at(a) == early, self.offset_at(b) == late
@@ -186,7 +224,7 @@ def _convert(values: list[str], plan: dict[str, tuple[int, int]], zones: np.ndar
         half = _each(word("ap"), lambda w: {"am": 0, "pm": 12}.get(w.lower(), -1))
         ok &= (half >= 0) & (hour >= 1) & (hour <= 12)
         hour = hour % 12 + half
-    ok &= (year >= 1971) & (year <= 2099) & (month >= 1) & (month <= 12) & (day >= 1) & (hour <= 23) & (minute <= 59) & (second <= 59)
+    ok &= (year >= 1) & (month >= 1) & (month <= 12) & (day >= 1) & (hour <= 23) & (minute <= 59) & (second <= 59)
     y, m = np.where(ok, year, 2000), np.where(ok, month, 1)
     nxt = _days(y + (m == 12), m % 12 + 1, np.ones(n, np.int64))
     first_day = _days(y, m, np.ones(n, np.int64))
@@ -234,15 +272,21 @@ def parse_instants(values: pd.Series, zones: pd.Series, orders: pd.Series) -> pd
     return pd.Series(pd.array(np.where(out == _BAD, 0, out), "Int64")).mask(out == _BAD)
 
 
-@F.pandas_udf(T.LongType())
-def _instants_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for values, zones, orders in batches:
-        yield parse_instants(values, zones, orders)
+def text_instant(value: Column, zone: Column, date_order: Column) -> Column:
+    """UTC microseconds of a textual timestamp, NULL where it has none.
 
+    All executors must have the driver's release of the time-zone database, else the query fails.
+    """
+    release = zone_data_version()
 
-def text_instant(value: Column, zone: Column, date_order: Column) -> Column:
-    """UTC microseconds of a textual timestamp, NULL where it has none."""
-    return _instants_udf(value, zone, date_order)
+    @F.pandas_udf(T.LongType())
+    def instants(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        if zone_data_version() != release:
+            raise RuntimeError(f"time-zone database {zone_data_version()} on this executor, {release} on the driver")
+        for values, zones, orders in batches:
+            yield parse_instants(values, zones, orders)
+
+    return instants(value, zone, date_order)
 
 
 def unix_instant(value: Column) -> Column:

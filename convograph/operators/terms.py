@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from convograph import config
 from convograph.functions.text import node_name, one_spaced, py_strip, title_case
 from convograph.operators.chunking import model_windows
+from convograph.session import parallelism
 
 
 def _without(x: Column, *patterns: str) -> Column:
@@ -56,11 +57,18 @@ def valid_topic(x: Column) -> Column:
     return ~t.isin(*config.STOP_TERMS) & (F.length(t) >= 4) & (_words(t) <= 3) & t.rlike(r"\p{L}") & ~t.rlike(r"\p{Nd}") & ~t.rlike(special) & ~opening
 
 
+def _regex_hits(window: Column) -> Column:
+    return F.concat(F.regexp_extract_all(window, F.lit("(" + config.MODEL_NAME + ")"), 1), F.regexp_extract_all(window, F.lit("(" + config.DOTTED_NAME + ")"), 1))
+
+
+def _regex_pos(window: Column, i: Column) -> Column:
+    return window * 100_000 + i
+
+
 def regex_entities(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, pos, surface``: model names and dotted names inside each model window, in window order."""
     window = docs.select(key, F.posexplode(model_windows(clean_entity_text(F.col("text")))).alias("win", "w"))
-    found = F.concat(F.regexp_extract_all("w", F.lit("(" + config.MODEL_NAME + ")"), 1), F.regexp_extract_all("w", F.lit("(" + config.DOTTED_NAME + ")"), 1))
-    return window.select(key, "win", F.posexplode(found).alias("i", "s")).select(key, (F.col("win") * 100_000 + F.col("i")).cast("long").alias("pos"), one_spaced(F.col("s")).alias("surface"))
+    return window.select(key, "win", F.posexplode(_regex_hits(F.col("w"))).alias("i", "s")).select(key, _regex_pos(F.col("win"), F.col("i")).cast("long").alias("pos"), one_spaced(F.col("s")).alias("surface"))
 
 
 def scored(candidates: DataFrame, least: int, most: int, key: str = "doc_id") -> DataFrame:
@@ -98,27 +106,65 @@ PHRASE_STOPS = (
 )
 
 
+_MARK = "\u0001"
+_IN_WORD = r"\p{L}\p{M}\p{N}_"
+
+
+def _phrase_arrays(text: Column, longest: int) -> Column:
+    """Runs of up to ``longest`` words between stop words and punctuation."""
+    spaced = F.regexp_replace(F.lower(clean_topic_text(text)), f"[^{_IN_WORD}' -]+", f" {_MARK} ")
+    words = F.transform(F.filter(F.split(spaced, " "), lambda w: w != ""), lambda w: F.when(w.isin(*PHRASE_STOPS), _MARK).otherwise(w))
+    runs = F.transform(F.split(F.array_join(words, " "), _MARK), lambda r: F.trim(r))
+    return F.filter(runs, lambda r: (r != "") & (F.size(F.split(r, " ")) <= longest))
+
+
 def noun_phrases(docs: DataFrame, key: str = "doc_id", longest: int = 3) -> DataFrame:
     """``key, pos, surface``: runs of up to ``longest`` words between stop words and punctuation."""
-    stops = "|".join(PHRASE_STOPS)
-    body = F.regexp_replace(F.lower(clean_topic_text(F.col("text"))), rf"(?U)[^\w\s'-]+|\b(?:{stops})\b", "\u0001")
-    runs = F.filter(F.transform(F.split(body, "\u0001"), one_spaced), lambda r: (r != "") & (F.size(F.split(r, " ")) <= longest))
-    return docs.select(key, F.posexplode(runs).alias("pos", "surface")).select(key, F.col("pos").cast("long").alias("pos"), "surface")
+    return docs.select(key, F.posexplode(_phrase_arrays(F.col("text"), longest)).alias("pos", "surface")).select(key, F.col("pos").cast("long").alias("pos"), "surface")
+
+
+def _ranked_phrases(docs: DataFrame, key: str, longest: int = 3) -> DataFrame:
+    """``key, surface, n, pos, r``: how often each phrase stands in a document, and its rank among them (longer and earlier first).
+
+    Documents move once, to the partitions of their key; all that follows stays there.
+    """
+    counts = noun_phrases(docs.repartition(parallelism(docs.sparkSession), key), key, longest).groupBy(key, "surface").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    w = Window.partitionBy(key).orderBy((F.col("n") * F.size(F.split("surface", " "))).desc(), "pos", "surface")
+    return counts.withColumn("r", F.row_number().over(w))
 
 
 def keywords(docs: DataFrame, key: str = "doc_id", most: int = 5) -> DataFrame:
     """``key, pos, surface``: the ``most`` phrases of each document that recur most, longer and earlier first."""
-    counts = noun_phrases(docs, key).groupBy(key, "surface").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    w = Window.partitionBy(key).orderBy((F.col("n") * F.size(F.split("surface", " "))).desc(), "pos", "surface")
-    return counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select(key, "pos", "surface")
+    return _ranked_phrases(docs, key).where(F.col("r") <= most).select(key, "pos", "surface")
+
+
+def own_topics(docs: DataFrame, key: str = "doc_id", least: int = config.TOPIC_LEAST, most: int = config.TOPICS_PER_DOC, keywords_per_doc: int = 5) -> DataFrame:
+    """:func:`topic_scores` of :func:`keywords` and :func:`noun_phrases`, from one pass over the texts."""
+    points = F.col("n") + F.when(F.col("r") <= keywords_per_doc, 2).otherwise(0)
+    valid = _ranked_phrases(docs, key).where(valid_topic(F.col("surface")))
+    return scored(valid.select(key, "pos", title_case(F.col("surface")).alias("surface"), points.alias("points")), least, most, key)
+
+
+_CAPITALISED = rf"[\p{{Ll}},;:] (\p{{Lu}}[{_IN_WORD}-]+(?: \p{{Lu}}[{_IN_WORD}-]+){{0,3}})"
 
 
 def capitalised_phrases(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, pos, surface``: runs of capitalised words that don't start a sentence."""
-    found = F.regexp_extract_all(clean_entity_text(F.col("text")), F.lit(r"(?U)(?<=[\p{Ll},;:] )(\p{Lu}[\w-]+(?: \p{Lu}[\w-]+){0,3})"), 1)
+    """``key, pos, surface``: runs of up to four capitalised words that don't start a sentence."""
+    found = F.regexp_extract_all(clean_entity_text(F.col("text")), F.lit(_CAPITALISED), 1)
     return docs.select(key, F.posexplode(found).alias("pos", "surface")).select(key, F.col("pos").cast("long").alias("pos"), "surface")
 
 
+def own_entities(docs: DataFrame, key: str = "doc_id", least: int = config.ENTITY_LEAST, most: int = config.ENTITIES_PER_DOC) -> DataFrame:
+    """:func:`entity_scores` of :func:`capitalised_phrases` and :func:`regex_entities`, from one pass over the texts."""
+    cleaned = docs.repartition(parallelism(docs.sparkSession), key).select(key, clean_entity_text(F.col("text")).alias("c"))
+    hit = lambda pos, s, points: F.struct(pos.cast("long").alias("pos"), s.alias("surface"), F.lit(points).alias("points"))
+    model = F.transform(F.regexp_extract_all("c", F.lit(_CAPITALISED), 1), lambda s, i: hit(i, s, 2))
+    regex = F.flatten(F.transform(model_windows(F.col("c")), lambda w, k: F.transform(_regex_hits(w), lambda s, i: hit(_regex_pos(k, i), s, 1))))
+    rows = cleaned.select(key, F.inline(F.concat(model, regex))).withColumn("surface", one_spaced(F.col("surface")))
+    sums = rows.groupBy(key, "surface").agg(F.sum("points").alias("points"), F.min("pos").alias("pos"))
+    return scored(sums.where(valid_entity(F.col("surface"))), least, most, key)
+
+
 EMBEDDING_SIZE = 64
 _EMBED_WORD = re.compile(r"[^\W_]+")
 

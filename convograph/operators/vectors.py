@@ -2,7 +2,8 @@
 
 A query set is met with all vectors in blocks: both sides are cut into blocks of bounded size by a hash of
 their ids, each pair of blocks is one matrix product in one task, and only the best ``k`` of each block leave
-it. Nothing is broadcast, since the query set grows with the data.
+it. Nothing is broadcast, since the query set grows with the data; each vector is copied once per block of
+queries, so the copies grow with the query set, not with the number of tasks.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = config.TOP_K, block:
     """
     rows = vectors.where("id IS NOT NULL AND v IS NOT NULL")
     asked = queries.where("id IS NOT NULL AND v IS NOT NULL")
-    n_v, n_q = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    n_v, n_q = (max(1, -(-df.count() // block)) for df in (vectors, queries))  # unfiltered: a stored table answers from its footers
     bucket = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = asked.select("id", "v", bucket(n_q).alias("bq")).withColumn("bv", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
     right = rows.select("id", "v", bucket(n_v).alias("bv")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))

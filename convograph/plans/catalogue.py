@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,9 +10,10 @@ from pyspark.sql import functions as F
 from convograph.functions import links as L
 from convograph.functions import text as X
 from convograph.functions.html import html_to_markdown
+from convograph.functions.instants import text_instant, unix_instant
 from convograph.operators import chunking, cooccur, pages, relations, render, retrieval, terms, vectors
 from convograph.plans.oracle import SQL
-from convograph.session import shared_dir
+from convograph.session import cut, work_dir
 from convograph.sources import stores
 from convograph.sources.exports import CHATGPT, CLAUDE, GEMINI, SESSIONS, chatgpt_messages, claude_messages, instants, newest, session_rows, table
 from convograph.config import COLOR_GROUPS
@@ -34,7 +34,7 @@ def _tokens(spark: SparkSession, where: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, where: str) -> DataFrame:
-    return cooccur.cooccurrence_edges(_docs(spark, where))
+    return cooccur.cooccurrence_edges(_texts(spark, where), "row_id")
 
 
 def _flat(edges: DataFrame) -> DataFrame:
@@ -121,13 +121,61 @@ def html_markdown(spark: SparkSession, where: str) -> DataFrame:
 
 
 def file_union(spark: SparkSession, where: str) -> DataFrame:
-    """Documents of all platforms, one absent one included."""
-    none = spark.createDataFrame([], "platform string, path string")
-    chat = render_chatgpt_days(spark, where).select(F.lit("chatgpt").alias("platform"), "path")
-    claude = render_claude_days(spark, where).select(F.lit("claude").alias("platform"), "path")
-    gemini = render_gemini_days(spark, where).select(F.lit("gemini").alias("platform"), "path")
-    sessions = render_sessions(spark, where).select(F.lit("claude-code").alias("platform"), F.concat(F.lit("conversations/claude-code/"), "name").alias("path"))
-    return chat.unionByName(claude).unionByName(gemini).unionByName(sessions).unionByName(none).groupBy("platform", "path").agg(F.count("*").alias("n"))
+    """Documents of all platforms, one absent one included: who owns them, their date and number."""
+    none = spark.createDataFrame([], "platform string, owner string, date string")
+    for name, days in (("chatgpt", render_chatgpt_days), ("claude", render_claude_days), ("gemini", render_gemini_days)):
+        none = none.unionByName(days(spark, where).select(F.lit(name).alias("platform"), F.col("account_id").cast("string").alias("owner"), "date"))
+    sessions = render_sessions(spark, where).select(F.lit("claude-code").alias("platform"), F.col("path").alias("owner"), "date")
+    return none.unionByName(sessions).groupBy("platform", "owner", "date").agg(F.count("*").alias("n"))
+
+
+def _file(rows: DataFrame) -> str:
+    at = work_dir(rows.sparkSession)
+    stores.save_json(rows, at)
+    return at
+
+
+def gemini_file(spark: SparkSession, where: str) -> DataFrame:
+    """Activity items written as an export of JSON lines and read again."""
+    at = _file(table(spark, where, GEMINI).select("time", "title", F.col("safe_html_item").alias("safeHtmlItem")))
+    return stores.read_export(spark, at, stores.GEMINI_SCHEMA, lines=True).select("time", "title", F.array_join(F.transform("safeHtmlItem", lambda x: x["html"]), SEP).alias("html"))
+
+
+def claude_file(spark: SparkSession, where: str) -> DataFrame:
+    """Conversations written as an export of JSON lines, read again as message texts."""
+    read = stores.read_export(spark, _file(table(spark, where, CLAUDE).select("created_at", "name", "chat_messages")), stores.CLAUDE_SCHEMA, lines=True)
+    msg = read.select("created_at", "name", F.explode("chat_messages").alias("m"))
+    return msg.select("created_at", "name", F.col("m.sender").alias("sender"), F.col("m.created_at").alias("at"), render.claude_text(F.col("m.content")).alias("text"))
+
+
+def chatgpt_file(spark: SparkSession, where: str) -> DataFrame:
+    """Conversations written as an export of JSON lines, read again as nodes."""
+    read = stores.read_export(spark, _file(table(spark, where, CHATGPT).select("create_time", "title", "mapping")), stores.CHATGPT_SCHEMA, lines=True)
+    node = read.select("create_time", "title", F.explode("mapping").alias("node", "v"))
+    m = F.col("v.message")
+    return node.select("create_time", "title", "node", m["create_time"].alias("at"), m["author"]["role"].alias("role"), F.array_join(m["content"]["parts"], SEP).alias("parts"))
+
+
+def markdown_files(spark: SparkSession, where: str) -> DataFrame:
+    """Day documents written as one Markdown file each and read again."""
+    at = work_dir(spark)
+    days = render_claude_days(spark, where)
+    written = stores.save_markdown(days.select(F.concat_ws("/", F.col("account_id").cast("string"), "path").alias("path"), "text"), at)
+    again = stores.read_markdown(spark, at).select(F.regexp_extract("path", "work-[^/]+/[^/]+/(.*)$", 1).alias("path"), F.sha2("text", 256).alias("hash"))
+    return again.join(written, "path").select("path", "n_chars", "hash")
+
+
+def unix_instants(spark: SparkSession, where: str) -> DataFrame:
+    """Instants of the Unix times of conversations, in whatever unit they are."""
+    return table(spark, where, CHATGPT).select("row_id", unix_instant(F.col("create_time")).alias("utc_us")).where("utc_us IS NOT NULL")
+
+
+def iso_instants(spark: SparkSession, where: str) -> DataFrame:
+    """Instants of the ISO times that name their offset."""
+    shape = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.]\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+    times = table(spark, where, CLAUDE).select("row_id", F.explode("chat_messages").alias("m")).select("row_id", F.col("m.msg_id").alias("rec_id"), F.col("m.created_at").alias("t"))
+    none = F.lit(None).cast("string")
+    return times.where(F.col("t").rlike(shape)).select("row_id", "rec_id", text_instant(F.col("t"), none, none).alias("utc_us")).where("utc_us IS NOT NULL")
 
 
 # ---------------------------------------------------------------- scalars
@@ -187,17 +235,15 @@ def term_union(spark: SparkSession, where: str) -> DataFrame:
 
 
 def regex_entities(spark: SparkSession, where: str) -> DataFrame:
-    return terms.regex_entities(_docs(spark, where))
+    return terms.regex_entities(_texts(spark, where), "row_id")
 
 
 def entity_scores(spark: SparkSession, where: str) -> DataFrame:
-    docs = _docs(spark, where)
-    return terms.entity_scores(terms.capitalised_phrases(docs), terms.regex_entities(docs))
+    return terms.own_entities(_docs(spark, where))
 
 
 def topic_scores(spark: SparkSession, where: str) -> DataFrame:
-    docs = _docs(spark, where)
-    return terms.topic_scores(terms.keywords(docs), terms.noun_phrases(docs))
+    return terms.own_topics(_docs(spark, where))
 
 
 def keyword_scores(spark: SparkSession, where: str) -> DataFrame:
@@ -215,13 +261,14 @@ def hashed_embeddings(spark: SparkSession, where: str) -> DataFrame:
 def injected_links(spark: SparkSession, where: str) -> DataFrame:
     """Documents linked with their own scored topics and entities."""
     docs = _docs(spark, where)
-    own = terms.term_arrays(terms.union_terms(topic_scores(spark, where).drop("score"), entity_scores(spark, where).drop("score")))
+    found = cut(terms.union_terms(terms.own_topics(docs).drop("score"), terms.own_entities(docs).drop("score")))
+    own = terms.term_arrays(found)
     return docs.join(own, "doc_id", "left").select("doc_id", L.inject_links(F.col("text"), F.col("terms")).alias("text"))
 
 
 # ---------------------------------------------------------------- graph
 def context_weighted_pairs(spark: SparkSession, where: str) -> DataFrame:
-    return cooccur.weighted_pairs(cooccur.text_units(_docs(spark, where)))
+    return cooccur.weighted_pairs(cooccur.text_units(_texts(spark, where), "row_id"))
 
 
 def cooccurrence_edges(spark: SparkSession, where: str) -> DataFrame:
@@ -229,7 +276,7 @@ def cooccurrence_edges(spark: SparkSession, where: str) -> DataFrame:
 
 
 def edges_double_pass(spark: SparkSession, where: str) -> DataFrame:
-    return _flat(cooccur.cooccurrence_edges(_docs(spark, where), passes=2))
+    return _flat(cooccur.cooccurrence_edges(_texts(spark, where), "row_id", passes=2))
 
 
 def adjacency(spark: SparkSession, where: str) -> DataFrame:
@@ -240,13 +287,20 @@ def adjacency_capped(spark: SparkSession, where: str) -> DataFrame:
     return cooccur.first_neighbors(_graph(spark, where))
 
 
+def adjacency_file(spark: SparkSession, where: str) -> DataFrame:
+    """Adjacency written as JSON objects and read again."""
+    at = work_dir(spark)
+    stores.save_adjacency(adjacency(spark, where), at)
+    return stores.read_adjacency(spark, at)
+
+
 def adjacency_from_edge_list(spark: SparkSession, where: str) -> DataFrame:
     return stores.edge_list(table(spark, where, "edges")).distinct()
 
 
 def graph_expand(spark: SparkSession, where: str) -> DataFrame:
-    """Links of each document and their first neighbours."""
-    seeds = _docs(spark, where).select("doc_id", F.explode(L.edge_links(F.col("text"))).alias("node"))
+    """Links of each chunk and their first neighbours."""
+    seeds = _texts(spark, where).select("row_id", F.explode(L.edge_links(F.col("text"))).alias("node"))
     return cooccur.expand(seeds, cooccur.first_neighbors(_graph(spark, where)))
 
 
@@ -290,9 +344,14 @@ def inverted_index(spark: SparkSession, where: str) -> DataFrame:
     return retrieval.inverted_index(_last_chunks(spark, where))
 
 
+def entity_index(spark: SparkSession, where: str) -> DataFrame:
+    """The chunks of each entity, in order."""
+    return retrieval.entity_index(_last_chunks(spark, where))
+
+
 def index_lookup(spark: SparkSession, where: str) -> DataFrame:
     """Chunks that hold any node of the document graph."""
-    nodes = table(spark, where, "edges").select(F.col("source").alias("node")).distinct()
+    nodes = table(spark, where, "edges").select(F.explode(F.array("source", "target")).alias("node")).distinct()
     return retrieval.lookup(retrieval.postings(_last_chunks(spark, where)), nodes)
 
 
@@ -305,14 +364,13 @@ def index_counts(spark: SparkSession, where: str) -> DataFrame:
 
 def chunk_point_lookup(spark: SparkSession, where: str) -> DataFrame:
     """The chunk of one id (the smallest)."""
-    chunks = table(spark, where, "chunks")
-    first = chunks.agg(F.min("id")).first()[0]
-    return _last_chunks(spark, where).where(F.col("id") == first).select("id", "row_id", "hash")
+    first = table(spark, where, "chunks").agg(F.min("id").alias("id"))
+    return _last_chunks(spark, where).join(F.broadcast(first), "id").select("id", "row_id", "hash")  # one row
 
 
 def store_roundtrip(spark: SparkSession, where: str) -> DataFrame:
     """Chunks written as Parquet and read again."""
-    at = f"{shared_dir(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    at = work_dir(spark)
     stores.save(_last_chunks(spark, where), at)
     return stores.load(spark, at).select("id", "text", F.array_join("links", SEP).alias("links"), "hash")
 
@@ -382,6 +440,38 @@ def color_group_upsert(spark: SparkSession, where: str) -> DataFrame:
     return pages.upsert_groups(old, new)
 
 
+def color_group_file(spark: SparkSession, where: str) -> DataFrame:
+    """Colour groups of a graph-style file after its upsert; what else it holds stays."""
+    at = work_dir(spark)
+    spark.createDataFrame([('{"collapse": true, "colorGroups": [{"query": "tag:#x", "color": {"a": 1, "rgb": 255}}, {"query": "path:topics", "color": {"a": 0, "rgb": 7}}]}',)], "value string").coalesce(1).write.text(at)
+    file = spark.read.text(at).select("_metadata.file_path").first()[0]
+    stores.upsert_color_file(file)
+    style = spark.read.schema("collapse boolean, colorGroups array<struct<query:string,color:struct<a:int,rgb:int>>>").json(file, multiLine=True)
+    groups = style.select("collapse", F.posexplode("colorGroups").alias("i", "g"))
+    return groups.select("collapse", (F.col("i") + 1).alias("ord"), "g.query", "g.color.rgb", "g.color.a")
+
+
+def result_report(spark: SparkSession, where: str) -> DataFrame:
+    """A line per hit: rank, chunk and where it comes from."""
+    hits = _hits(spark, where).join(_last_chunks(spark, where).select("id", "hash"), "id")
+    return retrieval.result_lines(hits, "hash", 12)
+
+
+def index_build(spark: SparkSession, where: str) -> DataFrame:
+    """Chunks of all documents with their vectors and index, written; how many rows each store has."""
+    at = work_dir(spark)
+    made = chunking.chunks(_docs(spark, where).withColumn("key", F.concat_ws("#", "path", "doc_id")), "key")
+    stores.save(made, f"{at}/chunks")
+    chunks = stores.require_rows(stores.load(spark, f"{at}/chunks"), "chunks")
+    stores.save(chunks.select("id", terms.hashed_embedding(F.col("text")).alias("v")), f"{at}/vectors")
+    stores.save(retrieval.entity_index(chunks), f"{at}/postings")
+    out = None
+    for name in ("chunks", "vectors", "postings"):
+        rows = stores.load(spark, f"{at}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def flagship(spark: SparkSession, where: str) -> DataFrame:
     return cooccurrence_edges(spark, where)
 
@@ -395,7 +485,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         render_chatgpt_days, render_claude_days, render_gemini_days, render_sessions, pack_messages, html_markdown, file_union, node_names, token_names,
         title_cased, valid_terms, clean_entity_text, clean_topic_text, term_scores, term_union, regex_entities, entity_scores, topic_scores,
         keyword_scores, model_windows, hashed_embeddings, injected_links, node_pages, mentions, relation_lines, append_if_missing, rendered_pages,
-        color_group_upsert,
+        color_group_upsert, color_group_file, gemini_file, claude_file, chatgpt_file, markdown_files, unix_instants, iso_instants, entity_index,
+        adjacency_file, result_report, index_build,
     )
     return {f.__name__: f for f in named}
 

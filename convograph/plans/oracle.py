@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from convograph import config
+from convograph.operators.terms import PHRASE_STOPS
 
 _WS = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
 
@@ -37,20 +38,25 @@ _EDGE = f"list_distinct(list_transform(regexp_extract_all(text, '{config.EDGE_LI
 _REL = f"list_distinct(list_transform(regexp_extract_all(text, '{config.RELATION_LINK}', 1), lambda x: {_sub('lower(' + _strip('x') + ')', _WS + '+', chr(39) + '_' + chr(39))}))"
 _CHUNK = f"list_distinct(regexp_extract_all(text, '{config.CHUNK_LINK}', 1))"
 
-_UNITS = f"""{_DOCS},
-p AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS u FROM d),
-s AS (SELECT doc_id, {_SENT} AS u FROM d),
+
+
+def _units(key: str) -> str:
+    return f"""p AS (SELECT {key}, string_split(text, chr(10) || chr(10)) AS u FROM d),
+s AS (SELECT {key}, {_SENT} AS u FROM d),
 units AS (
-  SELECT doc_id, 'paragraph' AS context, CAST(i - 1 AS INTEGER) AS unit, u[i] AS text FROM (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM p)
+  SELECT {key}, 'paragraph' AS context, CAST(i - 1 AS INTEGER) AS unit, u[i] AS text FROM (SELECT {key}, u, unnest(range(1, len(u) + 1)) AS i FROM p)
   UNION ALL
-  SELECT doc_id, 'sentence', CAST(i - 1 AS INTEGER), u[i] FROM (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM s))"""
+  SELECT {key}, 'sentence', CAST(i - 1 AS INTEGER), u[i] FROM (SELECT {key}, u, unnest(range(1, len(u) + 1)) AS i FROM s))"""
+
 
-_PAIRS = f"""{_UNITS},
-n AS (SELECT doc_id, context, unit, unnest({_EDGE}) AS node FROM units WHERE text LIKE '%[[%'),
+_UNITS = f"{_DOCS}, {_units('doc_id')}"
+_CHUNK_TEXTS = "d AS (SELECT row_id, text FROM chunks WHERE text IS NOT NULL)"
+_PAIRS = f"""{_CHUNK_TEXTS}, {_units('row_id')},
+n AS (SELECT row_id, context, unit, unnest({_EDGE}) AS node FROM units WHERE text LIKE '%[[%'),
 pairs AS (
-  SELECT x.doc_id, x.context, x.unit, x.node AS source, y.node AS target,
+  SELECT x.row_id, x.context, x.unit, x.node AS source, y.node AS target,
     CAST(CASE x.context WHEN 'sentence' THEN 5 WHEN 'paragraph' THEN 2 ELSE 1 END AS BIGINT) AS weight
-  FROM n x JOIN n y ON x.doc_id = y.doc_id AND x.context = y.context AND x.unit = y.unit AND x.node < y.node)"""
+  FROM n x JOIN n y ON x.row_id = y.row_id AND x.context = y.context AND x.unit = y.unit AND x.node < y.node)"""
 
 _EDGES = f"""{_PAIRS},
 e AS (SELECT source, target, CAST(sum(weight) AS BIGINT) AS weight, array_to_string(list_sort(list(DISTINCT context)), ',') AS contexts FROM pairs GROUP BY 1, 2)"""
@@ -188,14 +194,117 @@ _CLEAN_TOPIC = _sub(_sub(_sub(_sub(_sub(_sub("text", r"\[\[.*?\]\]"), "(?s)```.*
 _FILE = _sub("token", '[<>:"/\\\\|?*]')
 _SPECIAL = "[" + "".join("\\" + c for c in config.TOPIC_FORBIDDEN) + "]"
 
+_CLEAN_TOPIC_ALL = _spaced(_sub(_CLEAN_TOPIC, "[#>*_`-]", "' '"))
+_WORDCHARS = r"\p{L}\p{M}\p{N}_"
+
+
+def _title(x: str) -> str:
+    """Python's title case; letters whose upper case is several are listed."""
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), lambda r: CASE left(r, 1) WHEN 'ﬁ' THEN 'Fi' WHEN 'ﬂ' THEN 'Fl' "
+        "WHEN 'ﬀ' THEN 'Ff' WHEN 'ﬃ' THEN 'Ffi' WHEN 'ß' THEN 'Ss' ELSE upper(left(r, 1)) END || lower(substr(r, 2))), '')"
+    )
+
+
+def _entity_ok(x: str) -> str:
+    return f"length({x}) >= 3 AND len(string_split({x}, ' ')) <= 4 AND NOT list_contains([{_list((*config.STOP_TERMS, *config.VERBS))}], lower({x})) AND regexp_matches({x}, '\\p{{L}}')"
+
+
+def _topic_ok(x: str) -> str:
+    opening = " AND ".join(f"NOT starts_with({x}, '{o}')" for o in config.TOPIC_OPENINGS)
+    return f"length({x}) >= 4 AND len(string_split({x}, ' ')) <= 3 AND NOT list_contains([{_list(config.STOP_TERMS)}], {x}) AND regexp_matches({x}, '\\p{{L}}') AND NOT regexp_matches({x}, '\\p{{Nd}}') AND NOT regexp_matches({x}, '{_SPECIAL}') AND {opening}"
+
+
+_PHRASES = f"""{_DOCS},
+spaced AS (SELECT doc_id, string_split(regexp_replace(lower({_CLEAN_TOPIC_ALL}), '[^{_WORDCHARS}'' -]+', ' ' || chr(1) || ' ', 'g'), ' ') AS ws FROM d),
+marked AS (SELECT doc_id, array_to_string(list_transform(list_filter(ws, lambda w: w <> ''), lambda w: CASE WHEN list_contains([{_list(PHRASE_STOPS)}], w) THEN chr(1) ELSE w END), ' ') AS t FROM spaced),
+runs AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda r: trim(r)), lambda r: r <> '' AND len(string_split(r, ' ')) <= 3) AS rs FROM marked),
+ph AS (SELECT doc_id, i - 1 AS pos, rs[i] AS surface FROM (SELECT doc_id, rs, unnest(range(1, len(rs) + 1)) AS i FROM runs)),
+pc AS (SELECT doc_id, surface, count(*) AS n, min(pos) AS pos FROM ph GROUP BY 1, 2),
+pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n * len(string_split(surface, ' ')) DESC, pos, surface) AS r FROM pc)"""
+
+
+def _best(points: str, surface: str, rows: str, least: int, most: int) -> str:
+    return f"""SELECT doc_id, ord, display, node, score FROM (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first, display) AS INTEGER) AS ord, display, {_node('display')} AS node, score
+  FROM (SELECT doc_id, {surface} AS display, CAST(sum({points}) AS BIGINT) AS score, min(pos) AS first FROM {rows} GROUP BY 1, 2) WHERE score >= {least}) WHERE ord <= {most}"""
+
+
+def _windows(key: str) -> str:
+    """Model windows (``win``: key, win from 0, w) of the cleaned texts of d, by a fold over sentences."""
+    text = _SENT.replace("regexp_replace(text,", f"regexp_replace({_spaced(_CLEAN)},")
+    return f"""ws AS (SELECT {key}, {text} AS ps FROM d),
+wfold AS (
+  SELECT {key}, ps, 0 AS i, CAST([] AS VARCHAR[]) AS o, '' AS cur FROM ws
+  UNION ALL
+  SELECT {key}, ps, i + 1, CASE WHEN length(cur) + length(ps[i + 1]) < {config.MAX_MODEL_CHARS} THEN o ELSE list_append(o, {_strip('cur')}) END,
+    CASE WHEN length(cur) + length(ps[i + 1]) < {config.MAX_MODEL_CHARS} THEN cur || ' ' || ps[i + 1] ELSE ps[i + 1] END FROM wfold WHERE i < len(ps)),
+wdone AS (SELECT {key}, CASE WHEN cur <> '' THEN list_append(o, {_strip('cur')}) ELSE o END AS o FROM wfold WHERE i = len(ps)),
+win AS (SELECT {key}, CAST(i - 1 AS INTEGER) AS win, o[i] AS w FROM (SELECT {key}, o, unnest(range(1, len(o) + 1)) AS i FROM wdone)),
+hits AS (SELECT {key}, win, list_concat(regexp_extract_all(w, '({config.MODEL_NAME})', 1), regexp_extract_all(w, '({config.DOTTED_NAME})', 1)) AS hs FROM win),
+rx AS (SELECT {key}, CAST(win * 100000 + i - 1 AS BIGINT) AS pos, {_spaced('hs[i]')} AS surface FROM (SELECT {key}, win, hs, unnest(range(1, len(hs) + 1)) AS i FROM hits))"""
+
+
+_CAPS = rf"[\p{{Ll}},;:] (\p{{Lu}}[{_WORDCHARS}-]+(?: \p{{Lu}}[{_WORDCHARS}-]+){{0,3}})"
+_ENTITIES = f"""{_DOCS}, {_windows('doc_id')},
+caps AS (SELECT doc_id, regexp_extract_all({_spaced(_CLEAN)}, '{_CAPS}', 1) AS cs FROM d),
+cand AS (
+  SELECT doc_id, i - 1 AS pos, {_spaced('cs[i]')} AS surface, 2 AS points FROM (SELECT doc_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM caps)
+  UNION ALL SELECT doc_id, pos, surface, 1 FROM rx),
+good AS (SELECT * FROM cand WHERE {_entity_ok('surface')})"""
+_PACKED = f"""{_SES},
+o AS (SELECT path, line_no, length(text) AS n, row_number() OVER (PARTITION BY path ORDER BY line_no, length(text)) AS i FROM sm),
+pfold AS (
+  SELECT path, line_no, i, 1 AS part, n AS total FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.path, o.line_no, o.i, CASE WHEN f.total + o.n > 2000 THEN f.part + 1 ELSE f.part END, CASE WHEN f.total + o.n > 2000 THEN o.n ELSE f.total + o.n END
+  FROM pfold f JOIN o ON o.path = f.path AND o.i = f.i + 1)"""
+_UNION = f"""{_SDOC},
+u AS (
+  SELECT DISTINCT 'chatgpt' AS platform, CAST(account_id AS VARCHAR) AS owner, {_epoch('create_time')} AS date FROM chatgpt_export
+  UNION ALL SELECT DISTINCT 'claude', CAST(account_id AS VARCHAR), {_iso("coalesce(created_at, '')")} FROM claude_export
+  UNION ALL SELECT DISTINCT 'gemini', CAST(account_id AS VARCHAR), {_iso("coalesce(time, '')")} FROM gemini_activity
+  UNION ALL SELECT 'claude-code', path, date FROM sdoc)"""
+_UNIX = " ".join(f"WHEN create_time >= {1640995200 * u} AND create_time < {1798761600 * u} THEN {x}" for u, x in (
+    (1, "CAST(floor(create_time) AS BIGINT) * 1000000 + CAST(round_even((create_time - floor(create_time)) * 1000000, 0) AS BIGINT)"),
+    (1000, "CAST(floor(create_time) AS BIGINT) * 1000 + CAST(round_even((create_time - floor(create_time)) * 1000, 0) AS BIGINT)"),
+    (1000000, "CAST(round_even(create_time, 0) AS BIGINT)"), (1000000000, "CAST(round_even(create_time / 1000, 0) AS BIGINT)"),
+))
+_ISO_FULL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.]\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+
 SQL = {
+    "file_union": f"WITH {_UNION} SELECT platform, owner, date, count(*) AS n FROM u GROUP BY 1, 2, 3",
+    "pack_messages": f"WITH RECURSIVE {_PACKED} SELECT path, line_no, part, CAST(max(part) OVER (PARTITION BY path) AS INTEGER) AS parts FROM pfold",
+    "model_windows": f"WITH RECURSIVE {_DOCS}, {_windows('doc_id')} SELECT doc_id, win, w AS text FROM win",
+    "regex_entities": f"WITH RECURSIVE {_CHUNK_TEXTS}, {_windows('row_id')} SELECT * FROM rx",
+    "keyword_scores": f"WITH {_PHRASES} SELECT doc_id, pos, surface FROM pr WHERE r <= 5",
+    "topic_scores": f"WITH {_PHRASES}, tp AS (SELECT doc_id, surface, pos, n + CASE WHEN r <= 5 THEN 2 ELSE 0 END AS points FROM pr WHERE {_topic_ok('surface')}) {_best('points', _title('surface'), 'tp', config.TOPIC_LEAST, config.TOPICS_PER_DOC)}",
+    "entity_scores": f"WITH RECURSIVE {_ENTITIES} {_best('points', 'surface', 'good', config.ENTITY_LEAST, config.ENTITIES_PER_DOC)}",
+    "rendered_pages": f"""WITH {_PAGES}, {_RELATIONS},
+rl AS (SELECT DISTINCT page_kind, source AS node, '- ' || relation || ' → [[' || target || ']]' AS line FROM matches JOIN kinds ON kinds.node = source),
+mt AS (SELECT page_kind AS kind, node, string_agg(line, chr(10) ORDER BY line) AS t FROM mentions GROUP BY 1, 2),
+rt AS (SELECT page_kind AS kind, node, string_agg(line, chr(10) ORDER BY line) AS t FROM rl GROUP BY 1, 2)
+SELECT kind, node, '# ' || display || chr(10) || coalesce(chr(10) || chr(10) || '## Mentioned In' || chr(10) || mt.t || chr(10), '') || coalesce(chr(10) || '## Relations' || chr(10) || chr(10) || rt.t, '') AS body
+FROM pages LEFT JOIN mt USING (kind, node) LEFT JOIN rt USING (kind, node)""",
+    "gemini_file": "SELECT time, title, array_to_string(list_transform(safe_html_item, lambda x: x.html), ' ¦ ') AS html FROM gemini_activity",
+    "claude_file": f"WITH {_CL} SELECT created_at, name, m.sender AS sender, m.created_at AS at, {_CL_MD} AS text FROM cl",
+    "chatgpt_file": f"WITH {_GPT_NODES.replace('row_id, account_id, create_time,', 'row_id, account_id, create_time, title,')} SELECT create_time, title, rec_id AS node, m.create_time AS at, m.author.role AS role, array_to_string(m.content.parts, ' ¦ ') AS parts FROM g",
+    "markdown_files": f"WITH {_CL_DAYS}, days AS ({_DAY.format(p='claude', l='Claude')}) SELECT account_id || '/' || path AS path, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS hash FROM days",
+    "unix_instants": f"SELECT * FROM (SELECT row_id, CASE {_UNIX} END AS utc_us FROM chatgpt_export) WHERE utc_us IS NOT NULL",
+    "iso_instants": f"WITH {_CL} SELECT * FROM (SELECT row_id, m.msg_id AS rec_id, epoch_us(try_cast(m.created_at AS TIMESTAMPTZ)) AS utc_us FROM cl WHERE regexp_matches(m.created_at, '{_ISO_FULL}')) WHERE utc_us IS NOT NULL",
+    "entity_index": f"WITH {_POST} SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY id) AS ord, id FROM post",
+    "adjacency_file": f"WITH {_ADJ} SELECT node, neighbor, ord FROM adj",
+    "result_report": f"WITH {_HITS}, {_LAST} SELECT query, rank, id, rank || '. ' || id || ' ' || left(regexp_replace(coalesce(hash, ''), '\\s+', ' ', 'g'), 12) AS line FROM hits JOIN last USING (id)",
+    "color_group_file": "SELECT * FROM (VALUES (true, 1, 'tag:#x', 255, 1), (true, 2, 'path:topics', 11893742, 1), (true, 3, 'path:entities', 5017087, 1), (true, 4, 'path:\"conversations/claude\"', 15237946, 1), (true, 5, 'path:\"conversations/chatgpt\"', 4177807, 1), (true, 6, 'path:\"conversations/gemini\"', 15228318, 1), (true, 7, 'path:\"conversations/claude-code\"', 33536, 1)) v(collapse, ord, query, rgb, a)",
+    "index_build": f"""WITH RECURSIVE {_chunks(4000)}, ids AS (SELECT DISTINCT left(sha1(path), 12) || ':' || ord AS id, unnest({_CHUNK}) AS entity FROM made)
+SELECT 'chunks' AS store, count(*) AS n FROM made UNION ALL SELECT 'vectors', count(*) FROM made UNION ALL SELECT 'postings', count(*) FROM ids""",
     "cooccurrence_edges": f"WITH {_EDGES} SELECT * FROM e",
     "edges_double_pass": f"WITH {_EDGES} SELECT source, target, weight * 2 AS weight, contexts FROM e",
     "context_weighted_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
     "adjacency": f"WITH {_ADJ} SELECT * FROM adj",
     "adjacency_capped": f"WITH {_ADJ} SELECT * FROM adj WHERE ord <= 5",
     "adjacency_from_edge_list": "SELECT source AS node, target AS neighbor FROM edges UNION SELECT target, source FROM edges",
-    "graph_expand": f"WITH {_ADJ}, seeds AS (SELECT doc_id, unnest({_EDGE}) AS node FROM d) SELECT doc_id, node FROM seeds UNION SELECT doc_id, neighbor FROM seeds JOIN adj USING (node) WHERE ord <= 5",
+    "graph_expand": f"WITH {_ADJ}, seeds AS (SELECT row_id, unnest({_EDGE}) AS node FROM d) SELECT row_id, node FROM seeds UNION SELECT row_id, neighbor FROM seeds JOIN adj USING (node) WHERE ord <= 5",
     "relation_matches": f"WITH {_RELATIONS} SELECT * FROM matches",
     "relation_graph": f"WITH {_RELATIONS} SELECT source, relation, target, count(*) AS weight, 'conversation' AS contexts FROM matches GROUP BY 1, 2, 3",
     "text_units": f"WITH {_UNITS} SELECT * FROM units",
@@ -206,7 +315,7 @@ SQL = {
     "dedup_last_wins": f"WITH {_LAST} SELECT id, batch_id, row_id, hash FROM last",
     "postings": f"WITH {_POST} SELECT * FROM post",
     "inverted_index": f"WITH {_POST} SELECT entity, count(*) AS n_chunks, min(id) AS first_id, max(id) AS last_id FROM post GROUP BY 1",
-    "index_lookup": f"WITH {_POST} SELECT DISTINCT id FROM post WHERE entity IN (SELECT source FROM edges)",
+    "index_lookup": f"WITH {_POST} SELECT DISTINCT id FROM post WHERE entity IN (SELECT source FROM edges UNION SELECT target FROM edges)",
     "index_counts": f"WITH {_POST} SELECT 'chunks' AS what, count(*) AS n FROM last UNION ALL SELECT 'postings', count(*) FROM post UNION ALL SELECT 'entities', count(DISTINCT entity) FROM post",
     "chunk_point_lookup": f"WITH {_LAST} SELECT id, row_id, hash FROM last WHERE id = (SELECT min(id) FROM chunks)",
     "store_roundtrip": f"WITH {_LAST} SELECT id, text, array_to_string(links, ' ¦ ') AS links, hash FROM last",

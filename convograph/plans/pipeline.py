@@ -41,31 +41,60 @@ def documents(spark: SparkSession, data: str) -> DataFrame:
 
 def own_terms(docs: DataFrame) -> DataFrame:
     """``doc_id, kind, ord, display, node``: topics and entities of each document by the offline providers."""
-    topics = terms.topic_scores(terms.keywords(docs), terms.noun_phrases(docs)).drop("score")
-    entities = terms.entity_scores(terms.capitalised_phrases(docs), terms.regex_entities(docs)).drop("score")
-    return terms.union_terms(topics, entities)
+    return terms.union_terms(terms.own_topics(docs).drop("score"), terms.own_entities(docs).drop("score"))
 
 
-def build(spark: SparkSession, data: str, out: str, passes: int = 1, embed: Callable[[Column], Column] = terms.hashed_embedding) -> None:
-    """Writes documents, terms, linked documents, edges, adjacency, relations, pages, chunks, vectors and postings under ``out``."""
+def model_terms(
+    keywords: Callable[[DataFrame], DataFrame], noun_chunks: Callable[[DataFrame], DataFrame], entities: Callable[[DataFrame, tuple[str, ...]], DataFrame],
+    labels: tuple[str, ...] = config.ENTITY_LABELS,
+) -> Callable[[DataFrame], DataFrame]:
+    """A term provider from three models over documents (``doc_id, text``), for :func:`build`.
+
+    ``keywords`` gives ``doc_id, pos, surface``; ``noun_chunks`` the same with ``root_pos``, of which nouns and proper
+    nouns count; ``entities`` is given the labels to look for and gives ``doc_id, pos, surface`` with ``label``.
+    """
+
+    def run(docs: DataFrame) -> DataFrame:
+        chunks = noun_chunks(docs).where(F.col("root_pos").isin("NOUN", "PROPN")).select("doc_id", "pos", "surface")
+        found = entities(docs, labels).where(F.col("label").isin(*labels)).select("doc_id", "pos", "surface")
+        topics = terms.topic_scores(keywords(docs).select("doc_id", "pos", "surface"), chunks)
+        return terms.union_terms(topics.drop("score"), terms.entity_scores(found, terms.regex_entities(docs)).drop("score"))
+
+    return run
+
+
+def build(
+    spark: SparkSession, data: str, out: str, passes: int = 1, embed: Callable[[Column], Column] = terms.hashed_embedding,
+    find_terms: Callable[[DataFrame], DataFrame] = own_terms, markdown: bool = False,
+) -> None:
+    """Writes documents, terms, linked documents, edges, adjacency, relations, pages, chunks, vectors and the index under ``out``.
+
+    ``markdown`` adds the linked documents and the node pages as one Markdown file each, under ``out/vault``.
+    """
     keep = lambda df, name: (stores.save(df, f"{out}/{name}"), stores.load(spark, f"{out}/{name}"))[1]
     docs = keep(documents(spark, data), "documents")
-    found = keep(own_terms(docs), "terms")
+    found = keep(find_terms(docs), "terms")
     linked = docs.join(terms.term_arrays(found), "doc_id", "left").select("doc_id", "path", inject_links(F.col("text"), F.col("terms")).alias("text"))
     linked = keep(linked, "linked")
     edges = keep(cooccur.cooccurrence_edges(linked, passes=passes), "edges")
     neighbors = keep(cooccur.adjacency(edges), "adjacency")
     stated = keep(relations.relations(linked, passes=passes), "relations")
-    stores.save_json(neighbors.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "neighbor"))), lambda x: x["neighbor"]).alias("neighbors")), f"{out}/json/adjacency")
+    stores.save_adjacency(neighbors, f"{out}/json/adjacency")
     stores.save_json(stated, f"{out}/json/relations")
     placed = found.join(docs.select("doc_id", "path"), "doc_id")
     made = keep(pages.new_pages(placed), "pages")
-    keep(pages.mentions(placed, made), "mentions")
-    keep(pages.relation_lines(stated, made), "relation_lines")
+    said = keep(pages.mentions(placed, made), "mentions")
+    lines = keep(pages.relation_lines(stated, made), "relation_lines")
+    if markdown:
+        vault = out if "://" in out else f"file://{out}"
+        stores.save_markdown(linked, f"{vault}/vault")
+        bodies = pages.rendered_pages(made, said, lines)
+        folder = F.when(F.col("kind") == "entity", "entities/").otherwise("topics/")
+        stores.save_markdown(bodies.where("node <> ''").select(F.concat(folder, "node", F.lit(".md")).alias("path"), F.col("body").alias("text")), f"{vault}/vault")
     chunks = keep(chunking.chunks(linked), "chunks")
     stores.require_rows(chunks, "chunks")
     keep(chunks.select("id", embed(F.col("text")).alias("v")), "vectors")
-    keep(retrieval.postings(chunks), "postings")
+    keep(retrieval.entity_index(chunks), "postings")
 
 
 def answer(spark: SparkSession, out: str, question: str, k: int = config.TOP_K, embed: Callable[[Column], Column] = terms.hashed_embedding) -> DataFrame:
@@ -74,5 +103,5 @@ def answer(spark: SparkSession, out: str, question: str, k: int = config.TOP_K,
     hits = vectors.search(stores.load(spark, f"{out}/vectors"), list(vector), k)
     ranked = spark.createDataFrame([(0, r.id, i) for i, r in enumerate(hits.collect(), 1)], "query long, id string, rank int")  # k rows
     chunks = stores.load(spark, f"{out}/chunks")
-    found = retrieval.retrieve(ranked, chunks, stores.load(spark, f"{out}/edges"))
-    return found.join(chunks.select("id", "text", F.col("path").alias("source")), "id").select("rank", "id", "text", "source")
+    found = retrieval.retrieve(ranked, chunks, stores.read_adjacency(spark, f"{out}/json/adjacency"))
+    return found.join(chunks.select("id", "text", F.col("path").alias("source")), "id").select("query", "rank", "id", "text", "source")

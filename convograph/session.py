@@ -63,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: most keys that are broadcast (16 bytes each and the hash table's room)
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 1_000_000
 
 
 def only(rows: DataFrame, keys: DataFrame, column: str, n_keys: int | None = None) -> DataFrame:

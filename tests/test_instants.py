@@ -76,3 +76,14 @@ def test_whole_tables(spark, small):
     df = instants(spark, small)
     assert df.columns == ["tab", "rec_id", "utc_us"]
     assert df.count() == df.select("tab", "rec_id").distinct().count() > 300
+
+
+def test_far_years():
+    """No year of the calendar is left out; local times of other centuries follow their zone's rules."""
+    from convograph.functions.instants import parse_instants
+
+    values = ["1970-06-01T00:00:00Z", "2100-01-01T00:00:00Z", "0001-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "1950-01-01T00:00:00", "2150-07-01T00:00:00", "1850-01-01T00:00:00"]
+    zones = [None] * 4 + ["Europe/Berlin"] * 2 + [None]
+    got = parse_instants(pd.Series(values), pd.Series(zones), pd.Series([None] * 7))
+    want = [13046400, 4102444800, -62135596800, 253402300799, -631155600, 5695912800]
+    assert [None if pd.isna(x) else int(x) // 10**6 for x in got] == [*want, None]

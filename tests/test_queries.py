@@ -34,7 +34,8 @@ def test_same_as_sql(spark, duck, small, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).columns
+    df = QUERIES[name](spark, small)
+    assert len(df.collect()) > 0 and df.columns
 
 
 def test_union_holds_all_platforms(spark, small):
@@ -44,6 +45,15 @@ def test_union_holds_all_platforms(spark, small):
     assert gemini == catalogue.render_gemini_days(spark, small).count() > 0
 
 
+def test_one_pass_terms_equal_the_separate_ones(spark, small):
+    from convograph.operators import terms
+
+    docs = catalogue._docs(spark, small)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(terms.own_topics(docs), terms.topic_scores(terms.keywords(docs), terms.noun_phrases(docs)))
+    assert same(terms.own_entities(docs), terms.entity_scores(terms.capitalised_phrases(docs), terms.regex_entities(docs)))
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -82,3 +82,59 @@ def test_stream_adds_up(spark, tmp_path):
     query.stop()
     whole = cooccur.cooccurrence_edges(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(stream.current(spark, str(out)).collect()) == sorted(whole.collect())
+
+
+def test_session_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f"line {i}\n" for i in range(5_000)))
+    (tmp_path / "b.jsonl").write_text("one\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [(r.line_no, r.line) for r in stores.read_sessions(spark, str(tmp_path)).collect() if r.path.endswith("a.jsonl")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted(got) == [(i + 1, f"line {i}") for i in range(5_000)]
+
+
+def test_markdown_files(spark, tmp_path):
+    docs = spark.createDataFrame([("c/a.md", "# é", 1), ("c/d/b.md", "x", 2), ("c/x.md", None, 3), (None, "t", 4)], "path string, text string, n_chars int")
+    assert sorted(map(tuple, stores.save_markdown(docs, f"file://{tmp_path}/v").collect())) == [("c/a.md", 3), ("c/d/b.md", 1)]
+    read = stores.read_markdown(spark, f"{tmp_path}/v").collect()
+    assert [r.path.split("/v/")[1] for r in read] == ["c/a.md", "c/d/b.md"] and read[0].text == "# é"
+
+
+def test_adjacency_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("b", "a", 1)], "node string, neighbor string, ord int")
+    stores.save_adjacency(rows, str(tmp_path / "adj"))
+    assert sorted(map(tuple, stores.read_adjacency(spark, str(tmp_path / "adj")).collect())) == [("a", "b", 2), ("a", "c", 1), ("b", "a", 1)]
+    (tmp_path / "one.json").write_text('{"a": ["c", "b"], "b": ["a"], "z": []}')
+    assert sorted(map(tuple, stores.read_adjacency(spark, str(tmp_path / "one.json")).collect())) == [("a", "b", 2), ("a", "c", 1), ("b", "a", 1)]
+
+
+def test_color_file(tmp_path):
+    file = tmp_path / "graph.json"
+    assert stores.upsert_color_file(f"file://{file}") is False and not file.exists()
+    file.write_text('{"zoom": 2, "colorGroups": [{"query": "q", "extra": 1, "color": {"a": 0, "rgb": 5}}]}')
+    assert stores.upsert_color_file(f"file://{file}", [("q", "000010"), ("n", "4C8DFF")])
+    assert json.loads(file.read_text()) == {"zoom": 2, "colorGroups": [{"query": "q", "extra": 1, "color": {"a": 1, "rgb": 16}}, {"query": "n", "color": {"a": 1, "rgb": 5017087}}]}
+
+
+def test_word_lists(spark, tmp_path):
+    (tmp_path / "w.yaml").write_text("labels:\n  - x\nwords:\n  - the\n  - yes\n  - 'no'\n  - deep learning  # two\n")
+    assert stores.read_words(spark, str(tmp_path / "w.yaml"), "words") == ["the", "no", "deep learning"]
+    assert stores.read_words(spark, str(tmp_path / "w.yaml"), "labels") == ["x"]
+
+
+def test_point_lookup_and_report(spark):
+    rows = spark.createDataFrame([("a", 1, "some\n text"), ("b", 1, None)], "id string, query int, text string").withColumn("rank", F.when(F.col("id") == "a", 1))
+    assert retrieval.get(rows, "id", "a").first().query == 1
+    with pytest.raises(KeyError):
+        retrieval.get(rows, "id", "z")
+    assert {r.line for r in retrieval.result_lines(rows).collect()} == {"1. a some text", "+ b "}
+
+
+def test_entity_index_of_a_hot_entity(spark):
+    chunks = spark.createDataFrame([(f"c{i:04}", ["hot"] + ["rare"] * (i == 7)) for i in range(900)], "id string, links array<string>")
+    got = {(r.entity, r.ord): r.id for r in retrieval.entity_index(chunks).collect()}
+    assert got == {("hot", i + 1): f"c{i:04}" for i in range(900)} | {("rare", 1): "c0007"}
+    assert retrieval.entity_index(chunks.where("false")).count() == 0
