@@ -76,10 +76,14 @@ def newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return best.select(*key, *[F.col("_b")[c].alias(c) for c in rest])
 
 
+def chat_rows(spark: SparkSession, where: str) -> DataFrame:
+    """Message rows of both chat tables, of all deliveries."""
+    return chatgpt_messages(table(spark, where, CHATGPT)).unionByName(claude_messages(table(spark, where, CLAUDE)))
+
+
 def chat_messages(spark: SparkSession, where: str) -> DataFrame:
     """The counting row (highest ``export_id``, then ``row_id``) of each message id of both chat tables."""
-    rows = chatgpt_messages(table(spark, where, CHATGPT)).unionByName(claude_messages(table(spark, where, CLAUDE)))
-    return newest(rows.where(F.col("rec_id").isNotNull()), ["tab", "rec_id"], ["export_id", "row_id"])
+    return newest(chat_rows(spark, where).where(F.col("rec_id").isNotNull()), ["tab", "rec_id"], ["export_id", "row_id"])
 
 
 def account_zones(spark: SparkSession, where: str) -> DataFrame:
