@@ -83,3 +83,35 @@ def test_ordinary_words_come_from_all_rows(spark, tmp_path):
     spark.createDataFrame([("A line.",)], "text string").write.parquet(f"{tmp_path}/level_samples.parquet")
     ordinary = P.fitted(spark, str(tmp_path)).model.ordinary
     assert {"plumbick", "garden", "tarn", "gelbick", "index"} <= ordinary and "rarely" not in ordinary
+
+
+#: frames that are neither in the tables nor used in fitting
+_OTHER = {
+    "email": ["Drop a line to {} whenever you like.", "Our list owner is {}, be kind.", "cc: {}"],
+    "phone": ["If it floods, call {} at once.", "Reception has telephone {} now.", "The cell {} is off."],
+    "idnum": ["Officer, my passport reads {} in full.", "A card with social security number {} was found.", "licence {} belongs to a cook."],
+    "address": ["Since spring she lives at {} with two cats.", "Mailing address: {}.", "Please deliver the piano to {} on Sunday."],
+    "name": ["Yesterday {} told us a story.", "A poem by {} hangs there.", "Say hello, dear {}!"],
+}
+_NOTHING = ["The barn holds 48213377 nails.", "Screen 1920-1080-60 is fine.", "At 203.0.113.9:8080 nobody answers.", "Spec 7.14.2 was read on 2022-03-04.", "The Haxmarley Theorem is old.", "Golden Kettle and Wooden Spoon", "We baked 120 loaves in 14 ovens."]
+
+
+def test_frames_not_used_in_fitting(finder):
+    """Recall and precision on generated values in other frames."""
+    import random
+
+    r, hits, found, true = random.Random(77), 0, 0, 0
+    for k in range(600):
+        kind = P.KINDS[k % 5]
+        head, tail = r.choice(_OTHER[kind]).split("{}")
+        value = P._value(r, kind, GIVEN, FAMILY)
+        text = f"{r.choice(_NOTHING)} {head}{value}{tail} {r.choice(_NOTHING)}"
+        at = text.index(head + value) + len(head)
+        got = {(s.start, s.end, s.kind) for s in finder.find(text)}
+        hits, found, true = hits + ((at, at + len(value), kind) in got), found + len(got), true + 1
+    assert hits >= 0.95 * true and hits >= 0.95 * found
+
+
+def test_numbers_of_no_known_shape(finder):
+    for text, want in (("call +999 12-34-56-78 today", "+999 12-34-56-78"), ("my passport is XY-1234-567", "XY-1234-567"), ("telephone (12) 345 67 89 please", "(12) 345 67 89")):
+        assert [text[s.start : s.end] for s in finder.find(text)] == [want]
