@@ -2,8 +2,8 @@
 
 Method: lexical cohesion. Candidate cuts are the ends of paragraphs, list items and sentences. At each the
 words of the block before and the block after are compared (cosine); a valley's depth is how far the
-similarity lies below the peaks on either side. Going forward, each cut is the deepest valley inside the
-window that the limit allows, a paragraph end counting for more than a sentence end. Where a window holds no
+similarity lies below the peaks on either side. Going forward, each cut is the deepest valley of the whole
+window that the limit allows; of equally deep ones a paragraph end comes first, then the last. Where a window holds no
 such boundary, the last line end, clause end or white space is taken, and failing that the limit itself
 (never inside a surrogate, combining or joined sequence).
 
@@ -64,16 +64,15 @@ def depths(text: str, cuts: list[tuple[int, bool]]) -> list[float]:
         if i - BLOCK + 1 >= 0:
             left.subtract(bags[i - BLOCK + 1])
         left, right = +left, +right
-    out = []
-    for i, s in enumerate(similar):
-        a = i
-        while a > 0 and similar[a - 1] >= similar[a]:
-            a -= 1
-        b = i
-        while b + 1 < len(similar) and similar[b + 1] >= similar[b]:
-            b += 1
-        out.append((similar[a] - s) + (similar[b] - s))
-    return out
+    # The peak on a side is that of the neighbour as long as the way there doesn't fall.
+    left_peak, right_peak = similar[:], similar[:]
+    for i in range(1, len(similar)):
+        if similar[i - 1] >= similar[i]:
+            left_peak[i] = left_peak[i - 1]
+    for i in range(len(similar) - 2, -1, -1):
+        if similar[i + 1] >= similar[i]:
+            right_peak[i] = right_peak[i + 1]
+    return [a + b - 2 * s for a, b, s in zip(left_peak, right_peak, similar)]
 
 
 def _hard_cut(text: str, at: int, low: int) -> int:
@@ -93,22 +92,18 @@ def pieces(text: str, max_chars: int, overlap: int) -> list[tuple[int, int]]:
     out, start, cut, i = [], 0, 0, 0
     while len(text) - start > max_chars:
         limit = start + max_chars
-        floor = cut + (limit - cut) // 3  # a cut further back would waste the window
         while i < len(cuts) and cuts[i][0] <= cut:
             i += 1
         best, j = None, i
         while j < len(cuts) and cuts[j][0] <= limit:
             p, paragraph = cuts[j]
-            if p > floor:
-                score = (deep[j] + (0.5 if paragraph else 0.0) + 0.2 * (p - floor) / max_chars, p)
-                best = max(best, score) if best else score
-            elif best is None and j + 1 < len(cuts) and cuts[j + 1][0] > limit:
-                best = (0.0, p) if p > cut else None
+            score = (round(deep[j], 9), paragraph, p)
+            best = max(best, score) if best else score
             j += 1
-        at = best[1] if best else None
+        at = best[2] if best else None
         if at is None:
             for pattern in _FALLBACKS:
-                ends = [m.end() for m in pattern.finditer(text, floor, limit) if m.end() > cut]
+                ends = [m.end() for m in pattern.finditer(text, cut, limit) if m.end() > cut]
                 if ends:
                     at = ends[-1]
                     break
