@@ -24,35 +24,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convograph.functions.text import has_word
-from convograph.session import cut, parallelism
+from convograph.operators.runs import in_runs
+from convograph.sources.exports import newest
 
 USER, ASSISTANT = "user", "assistant"
 
 
-def counting(messages: DataFrame) -> DataFrame:
-    """Message rows that can belong to a conversation: by user or assistant, of type text, not empty."""
-    return messages.where(F.col("conv_id").isNotNull() & F.col("speaker").isin(USER, ASSISTANT) & F.col("is_text") & has_word(F.col("text")))
+def counting(rows: DataFrame) -> DataFrame:
+    """The counting row of each message that can belong to a conversation: by user or assistant, of type text, not empty.
 
-
-def in_runs(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Rows with ``run`` (their range partition), ``pos`` (from 1 inside the run) and ``before`` (the row ahead in it).
-
-    ``rows`` must be slim: they are written once to the shared folder, since the range boundaries are sampled
-    and must be the same for every later use.
+    ``rows``: message rows of any delivery. Only slim columns are moved; ``row_id`` leads back to the text.
     """
-    cols = rows.columns
-    spread = rows.repartitionByRange(parallelism(rows.sparkSession), *key, *order).withColumn("run", F.spark_partition_id())
-    fixed = cut(spread)
-    w = Window.partitionBy(*key, "run").orderBy(*order)
-    return fixed.withColumn("pos", F.row_number().over(w)).withColumn("before", F.lag(F.struct(*cols)).over(w))
+    slim = ["tab", "conv_id", "rec_id", "export_id", "row_id", "speaker", "account_id", "t_num", "t_text"]
+    told = rows.where(F.col("rec_id").isNotNull()).select(*slim, (F.col("is_text") & has_word(F.col("text"))).alias("says"))
+    messages = newest(told, ["tab", "rec_id"], ["export_id", "row_id"])
+    return messages.where(F.col("conv_id").isNotNull() & F.col("speaker").isin(USER, ASSISTANT) & F.col("says"))
 
 
 def kept_conversations(timed: DataFrame) -> DataFrame:
-    """``tab, conv_id, msg_ord, msg_id, speaker`` of the kept conversations.
+    """``tab, conv_id, msg_ord, msg_id, speaker`` of the kept conversations, with ``row_id`` where ``timed`` has it.
 
     ``timed``: ``tab, conv_id, rec_id, speaker, utc_us`` of the counting messages; NULL ``utc_us`` has no instant.
     """
-    runs = in_runs(timed.select("tab", "conv_id", "utc_us", "rec_id", "speaker"), ["tab", "conv_id"], ["utc_us", "rec_id"])
+    row = [c for c in timed.columns if c == "row_id"]
+    runs = in_runs(timed.select("tab", "conv_id", "utc_us", "rec_id", "speaker", *row), ["tab", "conv_id"], ["utc_us", "rec_id"])
     key = ["tab", "conv_id"]
     clash = F.coalesce(F.col("before.speaker") == F.col("speaker"), F.lit(False)) | F.col("utc_us").isNull()
     summary = runs.groupBy(*key, "run").agg(
@@ -73,11 +68,15 @@ def kept_conversations(timed: DataFrame) -> DataFrame:
     )
     return (
         runs.join(composed, [*key, "run"])
-        .select("tab", "conv_id", (F.col("offset") + F.col("pos")).cast("long").alias("msg_ord"), F.col("rec_id").alias("msg_id"), "speaker")
+        .select("tab", "conv_id", (F.col("offset") + F.col("pos")).cast("long").alias("msg_ord"), F.col("rec_id").alias("msg_id"), "speaker", *row)
     )
 
 
-def rebuild_text(kept: DataFrame, messages: DataFrame) -> DataFrame:
-    """Kept messages with their text; one row per message, so no conversation is ever held in one task."""
-    text = messages.select("tab", F.col("rec_id").alias("msg_id"), "text")
-    return kept.join(text, ["tab", "msg_id"])
+def rebuild_text(kept: DataFrame, rows: DataFrame) -> DataFrame:
+    """Kept messages with their text, from the row that counts; one row per message, so no conversation is ever held in one task.
+
+    Where a row holds a message id twice, the larger text stays.
+    """
+    text = rows.select("tab", F.col("rec_id").alias("msg_id"), "row_id", "text")
+    key = ["tab", "conv_id", "msg_ord", "msg_id", "speaker"]
+    return kept.join(text, ["tab", "msg_id", "row_id"]).groupBy(*key).agg(F.max("text").alias("text"))

@@ -1,10 +1,10 @@
 """Prompt–answer pairs of all exports, and the defect of each broken pair.
 
-Method. Pairs come from neighbours in time (chats) or line order (sessions) and are range-sorted by the text of
-the answer. One pass applies the copy, refusal, language and ending rules and compares each answer with the
-next larger distinct text: an answer that is a proper prefix of it and has no sentence end is a shortened
-version. The pass returns slim rows only. A histogram of all answer lengths then shows length-limit spikes; an answer of a
-spike's length that doesn't end like a sentence is truncated too.
+Method. Pairs come from neighbours in time (chats) or line order (sessions). One pass applies the copy, refusal and
+language rules and looks at how the answer ends. Answers without a sentence end are then range-sorted by text together
+with all answers that begin like one of them, and each is compared with the next larger distinct text: a proper prefix
+of it is a shortened version. A histogram of the lengths of different answers shows length-limit spikes: an answer of
+such a length without a sentence end was cut there. What neither shows is truncated if its end breaks off.
 
 Defects, the first that holds: ``empty``, ``refusal``, ``copy``, ``language``, ``truncated``.
 
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convograph.llm.conversations import ASSISTANT, USER, in_runs
-from convograph.session import cut, parallelism
+from convograph.llm.conversations import ASSISTANT, USER
+from convograph.operators.runs import in_runs
+from convograph.session import cut, only, parallelism
 from convograph.sources.exports import (
     CHATGPT, CLAUDE, GEMINI, SESSIONS, account_zones, chatgpt_messages, claude_messages, newest, session_rows, table, with_instants,
 )
@@ -158,8 +159,8 @@ def ending(text: str) -> tuple[bool, bool]:
         return len(words) < 4 and line.lower().startswith("see"), True
     if re.search(r"(?:author:|by|contact:|ask|dear|regards,?) (?:[A-Z][\w'-]+,? ){1,3}[A-Z][\w'-]+$", line):
         return False, True
-    if not _WORD.search(line) or len(words) <= 2 and "\n" not in text.strip():
-        return False, True
+    if not words or "\n" not in text.strip() and all(w.isascii() and w.lower() not in _LANGUAGES_OF for w in words):
+        return False, True  # a name or other bare phrase: no clause that could break off
     return True, True
 
 
@@ -173,7 +174,7 @@ def judge(prompt: str, answer: str, is_html: bool) -> tuple[str | None, str, boo
     words = _WORD.findall(answer.lower())
     if not words:
         return "empty", answer, False
-    if (m := REFUSALS.match(answer.lstrip("\"'“*_> "))) and len(answer) - m.end() < 160:
+    if REFUSALS.match(answer.lstrip("\"'“*_> ")):
         return "refusal", answer, False
     asked = _WORD.findall(prompt.lower())
     if len(words) % max(1, len(asked)) == 0 and is_copy(asked, words) or len(words) < 3 * len(asked) + 12 and is_copy(asked, _WORD.findall(DRESSING.sub("", answer).lower())):
@@ -181,7 +182,7 @@ def judge(prompt: str, answer: str, is_html: bool) -> tuple[str | None, str, boo
     if (a := language(answer)) and (p := language(prompt)) and a != p and not ASKS_LANGUAGE.search(prompt):
         return "language", answer, False
     off, bare = ending(answer)
-    return ("truncated" if off or broken else None), answer, bare
+    return ("truncated" if off or broken else None), answer, bare or broken
 
 
 def with_previous(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -218,7 +219,9 @@ def prompt_answer_pairs(spark: SparkSession, where: str) -> DataFrame:
     texts = chats.select("tab", "rec_id", F.col("row_id").cast("long").alias("row_id"), "text").unionByName(lines.select("tab", "rec_id", "row_id", "text"))
     spoken = (
         texts.join(parts.withColumn("row_id", F.col("row_id").cast("long")), ["tab", "rec_id", "row_id"])
-        .groupBy("tab", F.col("pair").alias("rec_id"))
+        .select("tab", F.col("pair").alias("rec_id"), "asks", "text")
+        .repartition(parallelism(spark), "tab", "rec_id")  # kept apart for the Python work that follows
+        .groupBy("tab", "rec_id")
         .agg(F.max(F.when(F.col("asks"), F.col("text"))).alias("prompt"), F.max(F.when(~F.col("asks"), F.col("text"))).alias("answer"))
         .withColumn("is_html", F.lit(False))
     )
@@ -226,64 +229,110 @@ def prompt_answer_pairs(spark: SparkSession, where: str) -> DataFrame:
         F.lit(GEMINI).alias("tab"), F.col("item_id").cast("string").alias("rec_id"), F.col("title").alias("prompt"),
         F.coalesce(F.array_join(F.transform("safe_html_item", lambda x: x["html"]), ""), F.lit("")).alias("answer"),
     )
-    items = newest(item, ["tab", "rec_id"], ["answer", "prompt"]).withColumn("is_html", F.lit(True))
+    items = newest(item.repartition(parallelism(spark), "tab", "rec_id"), ["tab", "rec_id"], ["answer", "prompt"]).withColumn("is_html", F.lit(True))
     return spoken.unionByName(items).where(F.col("prompt").rlike(r"(?U)\S"))
 
 
-#: rows with a ``rec_id`` are pairs; one without per partition holds its first text, its last, and the next larger than the last
-_SORTED = "tab string, rec_id string, defect string, bare boolean, size int, part int, edge boolean, ends array<string>"
+_JUDGED = "tab string, rec_id string, defect string, bare boolean, size int, answer string"
+
+
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        told = [judge(p, a, h) for p, a, h in zip(pdf.prompt, pdf.answer, pdf.is_html)]
+        yield pd.DataFrame({"tab": pdf.tab, "rec_id": pdf.rec_id, "defect": [t[0] for t in told], "bare": [t[2] for t in told], "size": [len(t[1]) for t in told], "answer": [t[1] for t in told]})
+
+
+#: lengths at which beginnings are compared by their hash before answers are sorted: powers of two
+LEVELS = tuple(1 << k for k in range(31))
+
+
+def _beginnings(text: Column, only_longest: bool) -> Column:
+    """Hashes of a text's beginnings of the lengths in ``LEVELS``, or of the longest of them."""
+    fitting = F.filter(F.array(*map(F.lit, LEVELS)), lambda n: n <= F.length(text))
+    some = F.slice(fitting, -1, 1) if only_longest else fitting
+    return F.transform(some, lambda n: F.xxhash64(n, F.substring(text, F.lit(1), n)))
+
 
+def may_continue(rows: DataFrame) -> DataFrame:
+    """``rows`` (``tab, rec_id, answer, open``) that are open or begin like an open one: no shortened version is lost.
 
-def _judge_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Judges pairs that come in descending order of their answer, so the text ahead is the next larger one."""
+    A longer version has the open answer's longest beginning among its own.
+    """
+    keys = cut(rows.where("open").select(F.explode(_beginnings(F.col("answer"), True)).alias("key")).distinct())
+    begin = rows.where("NOT open").select("tab", "rec_id", F.explode(_beginnings(F.col("answer"), False)).alias("key"))
+    ids = cut(only(begin, keys, "key").select("tab", "rec_id").distinct().withColumn("id", F.concat_ws(" ", "tab", "rec_id")))
+    longer = only(rows.where("NOT open").withColumn("id", F.concat_ws(" ", "tab", "rec_id")), ids, "id").drop("id")
+    return rows.where("open").unionByName(longer)
+
+
+#: rows with a ``rec_id`` are open answers; one without per partition holds its first text, its last, and the next larger than the last
+_SORTED = "tab string, rec_id string, short boolean, part int, edge boolean, ends array<string>"
+
+
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compares answers that come in descending order with the next larger one, which is the text ahead."""
     part, first, larger, current = TaskContext.get().partitionId(), None, None, None
-    columns = ["tab", "rec_id", "defect", "bare", "size", "part", "edge", "ends"]
+    columns = ["tab", "rec_id", "short", "part", "edge", "ends"]
     for pdf in batches:
         out = []
-        for tab, rec, prompt, answer, is_html in zip(pdf.tab, pdf.rec_id, pdf.prompt, pdf.answer, pdf.is_html):
+        for tab, rec, answer, is_open in zip(pdf.tab, pdf.rec_id, pdf.answer, pdf.open):
             if answer != current:
                 larger, current = current, answer
                 first = answer if first is None else first
-            defect, text, bare = judge(prompt, answer, is_html)
-            open_end = defect is None and bare and len(answer) > 20
-            if open_end and larger is not None and larger.startswith(answer):
-                defect = "truncated"
-            # the largest text of a partition meets its next larger in a partition before
-            out.append((tab, rec, defect, bare, len(text), part, open_end and larger is None, None))
+            if is_open:  # the largest text of a partition meets its next larger in a partition before
+                out.append((tab, rec, larger is not None and larger.startswith(answer), part, larger is None, None))
         yield pd.DataFrame(out, columns=columns)
     if current is not None:
-        yield pd.DataFrame([(None, None, None, False, 0, part, False, [first, current, larger])], columns=columns)
+        yield pd.DataFrame([(None, None, False, part, False, [first, current, larger])], columns=columns)
+
+
+def shortened(rows: DataFrame) -> DataFrame:
+    """``tab, rec_id`` of the open answers (``tab, rec_id, answer, open``) of which another answer is a continuation."""
+    spread = may_continue(rows).repartitionByRange(parallelism(rows.sparkSession), F.col("answer").desc(), F.col("tab"), F.col("rec_id"))
+    found = cut(spread.sortWithinPartitions(F.col("answer").desc(), "tab", "rec_id").mapInPandas(_neighbours, _SORTED))
+    # The next larger text of a partition's first one may lie several partitions before, where copies of one
+    # answer fill them. It is the last text of a partition, or the next larger than such a last text: three
+    # texts per partition are ordered, not pairs.
+    ends = found.where(F.col("rec_id").isNull()).select("part", "ends")
+    texts = ends.select(F.explode("ends").alias("first")).where(F.col("first").isNotNull()).distinct()
+    ahead = texts.withColumn("ahead", F.lead("first").over(Window.orderBy("first")))
+    cuts = ends.withColumn("first", F.col("ends")[0]).join(ahead, "first").select("part", F.coalesce(F.col("ahead").startswith(F.col("first")), F.lit(False)).alias("cuts"))
+    told = found.where(F.col("rec_id").isNotNull()).join(F.broadcast(cuts), "part", "left")  # a number and a flag per partition
+    return told.where(F.col("short") | (F.col("edge") & F.coalesce("cuts", F.lit(False)))).select("tab", "rec_id")
 
 
-def length_spikes(sizes: DataFrame, least: int = 200, span: int = 12, factor: float = 6.0) -> DataFrame:
-    """Lengths far more frequent than the ``2 * span`` lengths around them (a limit cuts many answers there).
+def length_spikes(answers: DataFrame, span: int = 12, factor: float = 6.0) -> DataFrame:
+    """Lengths that far more different answers (``size, answer``) have than the ``2 * span`` lengths around (a limit cuts many there).
 
     A spike has more than ``mean + factor * sqrt(mean + 1) + 8`` answers, where mean is over the lengths
     around it. The histogram has one row per length, so the self-join is over lengths, not answers.
     """
-    hist = sizes.where(F.col("size") >= least).groupBy("size").agg(F.count("*").alias("n"))
+    hist = answers.select("size", F.xxhash64("answer").alias("h")).distinct().groupBy("size").agg(F.count("*").alias("n"))
     near = hist.select((F.explode(F.sequence(F.col("size") - span, F.col("size") + span))).alias("at"), F.col("size").alias("from"), "n")
     around = near.where(F.col("at") != F.col("from")).groupBy(F.col("at").alias("size")).agg((F.sum("n") / (2 * span)).alias("mean"))
     found = hist.join(around, "size", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
     return found.where(F.col("n") > F.col("mean") + factor * F.sqrt(F.col("mean") + 1) + 8).select("size", F.lit(True).alias("spike"))
 
 
-def defects(pairs: DataFrame) -> DataFrame:
-    """``tab, rec_id, defect`` of the defective pairs of :func:`prompt_answer_pairs`."""
-    n = parallelism(pairs.sparkSession)
+def judged_pairs(pairs: DataFrame) -> DataFrame:
+    """``tab, rec_id, defect, evidence`` of the defective pairs of :func:`prompt_answer_pairs`.
+
+    ``evidence`` of a truncated answer: ``shortened`` (another answer continues it), ``limit`` (it has the length at
+    which many are cut), else ``ending`` (how it ends).
+    """
     told = pairs.select("tab", "rec_id", "prompt", F.coalesce("answer", F.lit("")).alias("answer"), "is_html")
-    spread = told.repartitionByRange(n, F.col("answer").desc(), F.col("tab"), F.col("rec_id")).sortWithinPartitions(F.col("answer").desc(), "tab", "rec_id")
-    judged = cut(spread.mapInPandas(_judge_sorted, _SORTED))  # after the sort, whose sampling would else judge all twice
-    rows = judged.where(F.col("rec_id").isNotNull())
-    # The next larger text of a partition's first one may lie several partitions before, where copies of one
-    # answer fill them. It is the last text of a partition, or the next larger than such a last text: three
-    # texts per partition are ordered, not pairs.
-    ends = judged.where(F.col("rec_id").isNull()).select("part", "ends")
-    texts = ends.select(F.explode("ends").alias("first")).where(F.col("first").isNotNull()).distinct()
-    ahead = texts.withColumn("ahead", F.lead("first").over(Window.orderBy("first")))
-    cuts = ends.withColumn("first", F.col("ends")[0]).join(ahead, "first").select("part", F.coalesce(F.col("ahead").startswith(F.col("first")), F.lit(False)).alias("cuts"))
-    rows = rows.join(F.broadcast(cuts), "part", "left")  # a number and a flag per partition
-    short = F.col("edge") & F.coalesce("cuts", F.lit(False))
-    rows = rows.join(length_spikes(rows), "size", "left")
-    late = F.when(short | (F.col("bare") & F.coalesce("spike", F.lit(False))), "truncated")
-    return rows.withColumn("defect", F.coalesce("defect", late)).where(F.col("defect").isNotNull()).select("tab", "rec_id", "defect").distinct()
+    rows = cut(told.mapInPandas(_judge, _JUDGED))
+    says = rows.where("defect IS NULL OR defect = 'truncated'")
+    is_open = says.select("tab", "rec_id", "answer", F.col("bare").alias("open"))
+    short = shortened(is_open).withColumn("short", F.lit(True))
+    spikes = length_spikes(says.select("size", "answer"))
+    every = rows.drop("answer").join(short, ["tab", "rec_id"], "left").join(spikes, "size", "left")
+    cut_off = F.when(~F.col("bare"), None).when(F.col("short"), "shortened").when(F.col("spike"), "limit")
+    evidence = F.when(F.col("defect").isNull() | (F.col("defect") == "truncated"), F.coalesce(cut_off, F.when(F.col("defect") == "truncated", "ending")))
+    found = every.withColumn("evidence", evidence).withColumn("defect", F.when(F.col("evidence").isNotNull(), "truncated").otherwise(F.col("defect")))
+    return found.where(F.col("defect").isNotNull()).select("tab", "rec_id", "defect", "evidence").distinct()
+
+
+def defects(pairs: DataFrame) -> DataFrame:
+    """``tab, rec_id, defect`` of the defective pairs."""
+    return judged_pairs(pairs).drop("evidence")

@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convograph.llm import conversations, cooccurrence, encode, incremental_dedup, mixture, pairs, personal, reading_level, split
-from convograph.sources.exports import account_zones, chat_messages, table, with_instants
+from convograph.sources.exports import account_zones, chat_rows, table, with_instants
 
 
-def p1_found(spark: SparkSession, where: str) -> DataFrame:
-    rows = conversations.counting(chat_messages(spark, where)).select("tab", "conv_id", "rec_id", "speaker", "account_id", "t_num", "t_text")
+def _kept(spark: SparkSession, where: str) -> DataFrame:
+    rows = conversations.counting(chat_rows(spark, where))
     return conversations.kept_conversations(with_instants(rows, account_zones(spark, where)))
 
 
+def p1_found(spark: SparkSession, where: str) -> DataFrame:
+    return _kept(spark, where).drop("row_id")
+
+
 def p1_conversations(spark: SparkSession, where: str) -> DataFrame:
     """Kept messages with their text."""
-    return conversations.rebuild_text(p1_found(spark, where), chat_messages(spark, where))
+    return conversations.rebuild_text(_kept(spark, where), chat_rows(spark, where))
 
 
 def p2_found(spark: SparkSession, where: str) -> DataFrame:
@@ -56,6 +60,11 @@ def p6_found(spark: SparkSession, where: str) -> DataFrame:
     return pairs.defects(pairs.prompt_answer_pairs(spark, where))
 
 
+def p6_evidence(spark: SparkSession, where: str) -> DataFrame:
+    """What shows each truncated answer to be so, and how often."""
+    return pairs.judged_pairs(pairs.prompt_answer_pairs(spark, where)).groupBy("defect", "evidence").agg(F.count("*").alias("n"))
+
+
 def p7_found(spark: SparkSession, where: str) -> DataFrame:
     return incremental_dedup.chunk_repeats(spark, where)
 
@@ -79,7 +88,7 @@ def p10_found(spark: SparkSession, where: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_conversations, p2_found, p2_redacted, p4_found, p4_pieces, p5_found, p5_lift, p5_graph, p6_found, p7_found, p8_ids,
+        p1_found, p1_conversations, p2_found, p2_redacted, p4_found, p4_pieces, p5_found, p5_lift, p5_graph, p6_found, p6_evidence, p7_found, p8_ids,
         p9_mixture, p9_report, p10_found,
     )
     return {f.__name__: f for f in named}

@@ -4,8 +4,8 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from convograph.llm.conversations import counting, kept_conversations
-from convograph.sources.exports import chatgpt_messages, claude_messages, newest
+from convograph.llm.conversations import counting, kept_conversations, rebuild_text
+from convograph.sources.exports import chatgpt_messages, claude_messages
 
 SCHEMA = "tab string, conv_id string, rec_id string, speaker string, utc_us long"
 
@@ -54,8 +54,11 @@ def test_dirty_rows(spark):
         ],
         f"row_id long, export_id int, conv_id string, account_id long, mapping map<string,{node}>, text string",
     )
-    rows = newest(chatgpt_messages(gpt), ["tab", "rec_id"], ["export_id", "row_id"])
-    assert [(r.rec_id, r.text) for r in counting(rows).collect()] == [("a", "new\n\nb")]
+    rows = chatgpt_messages(gpt)
+    one = counting(rows)
+    assert [(r.rec_id, r.row_id) for r in one.collect()] == [("a", 2)]
+    kept = one.select("tab", "conv_id", F.lit(1).alias("msg_ord"), F.col("rec_id").alias("msg_id"), "speaker", "row_id")
+    assert [(r.msg_id, r.text) for r in rebuild_text(kept, rows).collect()] == [("a", "new\n\nb")]
     claude = spark.createDataFrame([(1, 0, "k", 5, [{"msg_id": "m", "sender": "bot", "created_at": "", "content": [{"type": "thinking", "text": None, "thinking": "t"}]}, None]), (2, 0, "k", 5, None), (3, 0, "k", 5, [])],
         "row_id long, export_id int, conv_id string, account_id long, chat_messages array<struct<msg_id:string,sender:string,created_at:string,content:array<struct<type:string,text:string,thinking:string>>>>")
     assert [(r.speaker, r.text) for r in claude_messages(claude).collect()] == [("assistant", "")]

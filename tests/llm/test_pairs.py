@@ -58,3 +58,22 @@ def test_previous_across_partitions(spark):
 def test_whole_tables(spark, small):
     p = P.prompt_answer_pairs(spark, small)
     assert p.count() == p.select("tab", "rec_id").distinct().count() > 50
+
+
+def test_evidence(spark):
+    """Neighbours and spikes decide before endings, whatever the length of the answer; copies make no spike."""
+    rows = [("t", "short", Q, "Use the\n- old", False), ("t", "longer", Q, "Use the\n- older list.", False), ("t", "ends", Q, "It is an", False), ("t", "name", Q, "Vector Index", False)]
+    rows += [("t", f"l{i}", Q, f"- w{i:02} and lists of it xy", False) for i in range(40)] + [("t", f"c{i}", Q, "- one and the same list", False) for i in range(90)]
+    told = spark.createDataFrame(rows, "tab string, rec_id string, prompt string, answer string, is_html boolean")
+    found = {r.rec_id: (r.defect, r.evidence) for r in P.judged_pairs(told).collect()}
+    assert found == {"short": ("truncated", "shortened"), "ends": ("truncated", "ending")} | {f"l{i}": ("truncated", "limit") for i in range(40)}
+
+
+def test_shortened_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    texts = sorted({"".join(r.choices("ab", k=r.choice([1, 2, 3, 5, 8, 13]))) for _ in range(300)})
+    rows = [("t", str(i), x, r.random() < 0.5) for i, x in enumerate(texts)]
+    got = {x.rec_id for x in P.shortened(spark.createDataFrame(rows, "tab string, rec_id string, answer string, open boolean")).collect()}
+    assert got == {i for _, i, x, is_open in rows if is_open and any(y != x and y.startswith(x) for y in texts)}
