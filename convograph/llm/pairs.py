@@ -20,8 +20,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convograph.llm.conversations import ASSISTANT, USER
@@ -233,36 +234,44 @@ def prompt_answer_pairs(spark: SparkSession, where: str) -> DataFrame:
     return spoken.unionByName(items).where(F.col("prompt").rlike(r"(?U)\S"))
 
 
-_JUDGED = "tab string, rec_id string, defect string, bare boolean, size int, answer string"
+_JUDGED = "tab string, rec_id string, defect string, open boolean, size int, same long, begins array<long>, answer string"
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        told = [judge(p, a, h) for p, a, h in zip(pdf.prompt, pdf.answer, pdf.is_html)]
-        yield pd.DataFrame({"tab": pdf.tab, "rec_id": pdf.rec_id, "defect": [t[0] for t in told], "bare": [t[2] for t in told], "size": [len(t[1]) for t in told], "answer": [t[1] for t in told]})
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-#: lengths at which beginnings are compared by their hash before answers are sorted: powers of two
-LEVELS = tuple(1 << k for k in range(31))
+def beginnings(text: str, only_longest: bool) -> list[int]:
+    """Hashes of a text's beginnings of 1, 2, 4, 8 … characters, or of the longest of them.
 
+    A longer version of a text has the text's longest beginning among its own.
+    """
+    levels = range(len(text).bit_length())
+    return [_hash(text[: 1 << k]) ^ k for k in (levels[-1:] if only_longest else levels)]
 
-def _beginnings(text: Column, only_longest: bool) -> Column:
-    """Hashes of a text's beginnings of the lengths in ``LEVELS``, or of the longest of them."""
-    fitting = F.filter(F.array(*map(F.lit, LEVELS)), lambda n: n <= F.length(text))
-    some = F.slice(fitting, -1, 1) if only_longest else fitting
-    return F.transform(some, lambda n: F.xxhash64(n, F.substring(text, F.lit(1), n)))
 
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Judges pairs by their own rules; an answer that says something and has no sentence end is open."""
+    for pdf in batches:
+        out = []
+        for tab, rec, prompt, answer, is_html in zip(pdf.tab, pdf.rec_id, pdf.prompt, pdf.answer, pdf.is_html):
+            defect, text, bare = judge(prompt, answer, is_html)
+            if defect in (None, "truncated"):
+                out.append((tab, rec, defect, bare, len(text), _hash(text), beginnings(text, bare), text))
+            else:
+                out.append((tab, rec, defect, False, len(text), None, None, None))
+        yield pd.DataFrame(out, columns=["tab", "rec_id", "defect", "open", "size", "same", "begins", "answer"]).astype({"same": "Int64"})
 
-def may_continue(rows: DataFrame) -> DataFrame:
-    """``rows`` (``tab, rec_id, answer, open``) that are open or begin like an open one: no shortened version is lost.
 
-    A longer version has the open answer's longest beginning among its own.
-    """
-    keys = cut(rows.where("open").select(F.explode(_beginnings(F.col("answer"), True)).alias("key")).distinct())
-    begin = rows.where("NOT open").select("tab", "rec_id", F.explode(_beginnings(F.col("answer"), False)).alias("key"))
-    ids = cut(only(begin, keys, "key").select("tab", "rec_id").distinct().withColumn("id", F.concat_ws(" ", "tab", "rec_id")))
-    longer = only(rows.where("NOT open").withColumn("id", F.concat_ws(" ", "tab", "rec_id")), ids, "id").drop("id")
-    return rows.where("open").unionByName(longer)
+def may_continue(rows: DataFrame) -> DataFrame:
+    """``tab, rec_id, answer, open`` of the rows (with ``begins``) that are open or begin like an open one: no shortened version is lost."""
+    keys = cut(rows.where("open").select(F.explode("begins").alias("key")).distinct())
+    begin = rows.where("NOT open").select("tab", "rec_id", F.explode("begins").alias("key"))
+    name = F.concat_ws(" ", "tab", "rec_id").alias("id")
+    ids = cut(only(begin, keys, "key").select(name).distinct())
+    columns = ["tab", "rec_id", "answer", "open"]
+    longer = only(rows.where("NOT open").select(*columns, name), ids, "id").select(columns)
+    return rows.where("open").select(columns).unionByName(longer)
 
 
 #: rows with a ``rec_id`` are open answers; one without per partition holds its first text, its last, and the next larger than the last
@@ -287,7 +296,7 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def shortened(rows: DataFrame) -> DataFrame:
-    """``tab, rec_id`` of the open answers (``tab, rec_id, answer, open``) of which another answer is a continuation."""
+    """``tab, rec_id`` of the open answers (``tab, rec_id, answer, open, begins``) of which another answer is a continuation."""
     spread = may_continue(rows).repartitionByRange(parallelism(rows.sparkSession), F.col("answer").desc(), F.col("tab"), F.col("rec_id"))
     found = cut(spread.sortWithinPartitions(F.col("answer").desc(), "tab", "rec_id").mapInPandas(_neighbours, _SORTED))
     # The next larger text of a partition's first one may lie several partitions before, where copies of one
@@ -302,12 +311,12 @@ def shortened(rows: DataFrame) -> DataFrame:
 
 
 def length_spikes(answers: DataFrame, span: int = 12, factor: float = 6.0) -> DataFrame:
-    """Lengths that far more different answers (``size, answer``) have than the ``2 * span`` lengths around (a limit cuts many there).
+    """Lengths that far more different answers (``size, same``, a hash) have than the ``2 * span`` lengths around (a limit cuts many there).
 
     A spike has more than ``mean + factor * sqrt(mean + 1) + 8`` answers, where mean is over the lengths
     around it. The histogram has one row per length, so the self-join is over lengths, not answers.
     """
-    hist = answers.select("size", F.xxhash64("answer").alias("h")).distinct().groupBy("size").agg(F.count("*").alias("n"))
+    hist = answers.select("size", "same").distinct().groupBy("size").agg(F.count("*").alias("n"))
     near = hist.select((F.explode(F.sequence(F.col("size") - span, F.col("size") + span))).alias("at"), F.col("size").alias("from"), "n")
     around = near.where(F.col("at") != F.col("from")).groupBy(F.col("at").alias("size")).agg((F.sum("n") / (2 * span)).alias("mean"))
     found = hist.join(around, "size", "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
@@ -322,12 +331,11 @@ def judged_pairs(pairs: DataFrame) -> DataFrame:
     """
     told = pairs.select("tab", "rec_id", "prompt", F.coalesce("answer", F.lit("")).alias("answer"), "is_html")
     rows = cut(told.mapInPandas(_judge, _JUDGED))
-    says = rows.where("defect IS NULL OR defect = 'truncated'")
-    is_open = says.select("tab", "rec_id", "answer", F.col("bare").alias("open"))
-    short = shortened(is_open).withColumn("short", F.lit(True))
-    spikes = length_spikes(says.select("size", "answer"))
-    every = rows.drop("answer").join(short, ["tab", "rec_id"], "left").join(spikes, "size", "left")
-    cut_off = F.when(~F.col("bare"), None).when(F.col("short"), "shortened").when(F.col("spike"), "limit")
+    says = rows.where("same IS NOT NULL")
+    short = shortened(says).withColumn("short", F.lit(True))
+    spikes = length_spikes(says)
+    every = rows.drop("answer", "begins").join(short, ["tab", "rec_id"], "left").join(spikes, "size", "left")
+    cut_off = F.when(~F.col("open"), None).when(F.col("short"), "shortened").when(F.col("spike"), "limit")
     evidence = F.when(F.col("defect").isNull() | (F.col("defect") == "truncated"), F.coalesce(cut_off, F.when(F.col("defect") == "truncated", "ending")))
     found = every.withColumn("evidence", evidence).withColumn("defect", F.when(F.col("evidence").isNotNull(), "truncated").otherwise(F.col("defect")))
     return found.where(F.col("defect").isNotNull()).select("tab", "rec_id", "defect", "evidence").distinct()

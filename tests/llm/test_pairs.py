@@ -74,6 +74,6 @@ def test_shortened_against_brute_force(spark):
 
     r = random.Random(5)
     texts = sorted({"".join(r.choices("ab", k=r.choice([1, 2, 3, 5, 8, 13]))) for _ in range(300)})
-    rows = [("t", str(i), x, r.random() < 0.5) for i, x in enumerate(texts)]
-    got = {x.rec_id for x in P.shortened(spark.createDataFrame(rows, "tab string, rec_id string, answer string, open boolean")).collect()}
-    assert got == {i for _, i, x, is_open in rows if is_open and any(y != x and y.startswith(x) for y in texts)}
+    rows = [("t", str(i), x, is_open, P.beginnings(x, is_open)) for i, x in enumerate(texts) for is_open in [r.random() < 0.5]]
+    got = {x.rec_id for x in P.shortened(spark.createDataFrame(rows, "tab string, rec_id string, answer string, open boolean, begins array<long>")).collect()}
+    assert got == {i for _, i, x, is_open, _ in rows if is_open and any(y != x and y.startswith(x) for y in texts)}
