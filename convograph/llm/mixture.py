@@ -51,7 +51,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     named = targets.select(_plain(F.col("source")).alias("source")).distinct()
     wanted = rows.join(named, "source", "left_semi").where(F.col("text") != "")
     sized = token_counts(wanted.select("doc_id", "source", "text"), tokenizer).where(F.col("n_tokens") > 0)
-    sized = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
+    sized = cut(sized.drop("text").withColumn("key", F.xxhash64(F.lit(seed), "doc_id")))  # before the range sampler, which would tokenise twice
     order = ["key", "doc_id"]
     spread = cut(sized.repartitionByRange(parallelism(docs.sparkSession), "source", *order).withColumn("run", F.spark_partition_id()))
     budget = plan(spread, targets, total_tokens)
