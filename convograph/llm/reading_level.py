@@ -6,8 +6,8 @@ its sentences, weighted by words, and cut points calibrated on held-out folds of
 level. Word and n-gram weights fold into one score vector per distinct word, which workers cache, so scoring
 is one table look-up per word.
 
-The model is fitted on the driver on at most ``max_samples`` labelled rows (the samples are a small fixed
-table); all documents are scored.
+The model is fitted on at most ``max_samples`` labelled rows (the samples are a small fixed table), each fold in
+a task of its own, on sparse features; all documents are scored.
 
 Defined results: front matter, headings, code, tables and time stamps are no prose; text is English where
 English function words dominate, whatever a language column says; documents with under ``least_words`` such
@@ -16,6 +16,7 @@ words (also null and empty texts) have no level; without samples of two levels t
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -109,7 +110,47 @@ class LevelModel:
         return self.levels[sum(expected >= c for c in self.cuts)]
 
 
-def _design(docs: list[list[list[str]]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+class Sparse:
+    """Sentences × features: the non-zero values by row and by column, and up to ``DENSE`` cells a plain matrix too (faster, same sums)."""
+
+    DENSE = 20_000_000
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, shape: tuple[int, int]) -> None:
+        flat, inverse = np.unique(rows.astype(np.int64) * shape[1] + cols, return_inverse=True)
+        self.shape, self.vals = shape, np.bincount(inverse, vals).astype(np.float32)
+        self.rows, self.cols = flat // shape[1], flat % shape[1]
+        self.by_col, self.dense = np.argsort(self.cols, kind="stable"), None
+        if shape[0] * shape[1] <= self.DENSE:
+            self.dense = np.zeros(shape, np.float32)
+            self.dense[self.rows, self.cols] = self.vals
+
+    @staticmethod
+    def _sums(values: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+        """Sums of rows of ``values`` per key; ``keys`` ascend."""
+        out = np.zeros((n, values.shape[1]), np.float32)
+        if len(keys):
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            out[keys[starts]] = np.add.reduceat(values, starts, axis=0)
+        return out
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense @ w
+        return self._sums(self.vals[:, None] * w[self.cols], self.rows, self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense.T @ g
+        at = self.by_col
+        return self._sums(self.vals[at, None] * g[self.rows[at]], self.cols[at], self.shape[1])
+
+    def part(self, keep: np.ndarray) -> Sparse:
+        """The rows that ``keep`` marks."""
+        inside, place = keep[self.rows], np.cumsum(keep) - 1
+        return Sparse(place[self.rows[inside]], self.cols[inside], self.vals[inside], (int(keep.sum()), self.shape[1]))
+
+
+def _design(docs: list[list[list[str]]]) -> tuple[Sparse, list[str], np.ndarray]:
     """Feature matrix of all sentences, its feature names, and the document of each row."""
     names: dict[str, int] = {}
     rows, cols, vals, owner, lens = [], [], [], [], []
@@ -122,58 +163,85 @@ def _design(docs: list[list[list[str]]]) -> tuple[np.ndarray, list[str], np.ndar
                     rows.append(k), cols.append(names.setdefault(name, len(names))), vals.append(v)
             owner.append(d), lens.append((len(s), sum(map(len, s))))
             k += 1
-    x = np.zeros((k, len(names)), np.float32)
-    np.add.at(x, (rows, cols), vals)
     size = np.array(lens, float).reshape(-1, 2)
-    return np.hstack([x * 20, _length_features(size[:, 0], size[:, 1]).astype(np.float32)]), list(names), np.array(owner)
+    extra = _length_features(size[:, 0], size[:, 1])
+    rows = np.concatenate([np.array(rows, np.int64), np.repeat(np.arange(k), extra.shape[1])])
+    cols = np.concatenate([np.array(cols, np.int64), np.tile(len(names) + np.arange(extra.shape[1]), k)])
+    vals = np.concatenate([np.array(vals) * 20, extra.ravel()])
+    return Sparse(rows, cols, vals, (k, len(names) + extra.shape[1])), list(names), np.array(owner)
 
 
-def _softmax_fit(x: np.ndarray, y: np.ndarray, n_levels: int, decay: float = 2e-3, steps: int = 120, rate: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def _softmax_fit(x: Sparse, y: np.ndarray, n_levels: int, decay: float = 2e-3, steps: int = 120, rate: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """Ridge-penalised softmax regression by accelerated gradient steps (features are scaled alike)."""
     w, b = np.zeros((x.shape[1], n_levels), np.float32), np.zeros(n_levels, np.float32)
     vw, vb, hot = w.copy(), b.copy(), np.eye(n_levels, dtype=np.float32)[y]
     for t in range(steps):
         lw, lb = w + 0.9 * vw, b + 0.9 * vb
-        z = x @ lw + lb
+        z = x.times(lw) + lb
         p = np.exp(z - z.max(axis=1, keepdims=True))
         g = (p / p.sum(axis=1, keepdims=True) - hot) / len(y)
-        vw, vb = 0.9 * vw - rate * (x.T @ g + decay * lw), 0.9 * vb - rate * g.sum(axis=0)
+        vw, vb = 0.9 * vw - rate * (x.transposed_times(g) + decay * lw), 0.9 * vb - rate * g.sum(axis=0)
         w, b = w + vw, b + vb
     return w, b
 
 
-def _expected(x: np.ndarray, owner: np.ndarray, size: np.ndarray, w: np.ndarray, b: np.ndarray, levels: list[int]) -> dict[int, float]:
-    z = x @ w + b
+def _expected(x: Sparse, owner: np.ndarray, size: np.ndarray, w: np.ndarray, b: np.ndarray, levels: list[int]) -> dict[int, float]:
+    z = x.times(w) + b
     p = np.exp(z - z.max(axis=1, keepdims=True))
     e = (p / p.sum(axis=1, keepdims=True)) @ np.array(levels, float)
     return {int(d): float(np.average(e[owner == d], weights=size[owner == d])) for d in np.unique(owner)}
 
 
-def fit(texts: list[str], labels: list[int], folds: int = 5) -> LevelModel | None:
-    """Model and calibrated cut points from graded samples; None without two levels."""
+def _fit_fold(texts: list[str], labels: list[int], folds: int, fold: int) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+    """Weights without the documents of a fold, and those documents' expected levels; all documents where ``fold == folds``."""
+    docs, graded, levels = _graded(texts, labels)
+    x, _, owner = _design(docs)
+    size = np.array([len(s) for d in docs for s in d], float)
+    y = np.array([levels.index(v) for v in graded])[owner]
+    out = (np.random.default_rng(3).permutation(len(docs)) % folds)[owner] == fold
+    if out.all():
+        return np.empty(0), np.empty(0), {}
+    w, b = _softmax_fit(x.part(~out), y[~out], len(levels))
+    return w, b, _expected(x.part(out), owner[out], size[out], w, b, levels) if out.any() else {}
+
+
+def _graded(texts: list[str], labels: list[int]) -> tuple[list[list[list[str]]], list[int], list[int]]:
+    """Sentences and level of each usable sample, and the levels."""
     docs = [sentences(t or "") for t in texts]
     some = [i for i, d in enumerate(docs) if d and labels[i] is not None]
-    docs, graded = [docs[i] for i in some], [int(labels[i]) for i in some]
-    levels = sorted(set(graded))
+    graded = [int(labels[i]) for i in some]
+    return [docs[i] for i in some], graded, sorted(set(graded))
+
+
+def fit(texts: list[str], labels: list[int], folds: int = 5, spark: SparkSession | None = None) -> LevelModel | None:
+    """Model and calibrated cut points from graded samples; None without two levels.
+
+    With a session, the folds and the final model are fitted in a task each.
+    """
+    docs, graded, levels = _graded(texts, labels)
     if len(levels) < 2:
         return None
-    x, names, owner = _design(docs)
-    size = np.array([len(s) for d in docs for s in d], float)
-    y = np.array([levels.index(v) for v in graded])[owner]
-    fold = np.random.default_rng(3).permutation(len(docs)) % folds
+    names = _design(docs)[1]
+    if spark is None:
+        fitted = [_fit_fold(texts, labels, folds, f) for f in range(folds + 1)]
+    else:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([(f, pickle.dumps(_fit_fold(texts, labels, folds, int(f)))) for f in pdf.id], columns=["fold", "fitted"])
+
+        tasks = spark.range(0, folds + 1, 1, folds + 1).mapInPandas(run, "fold long, fitted binary")
+        fitted = [pickle.loads(r.fitted) for r in sorted(tasks.collect(), key=lambda r: r.fold)]
     held: dict[int, float] = {}
-    for f in range(folds):
-        out = fold[owner] == f
-        if out.any() and not out.all():
-            w, b = _softmax_fit(x[~out], y[~out], len(levels))
-            held |= _expected(x[out], owner[out], size[out], w, b, levels)
+    for _, _, found in fitted[:folds]:
+        held |= found
     # The cut between two levels lies equally many standard deviations from both held-out means.
     cuts = []
     for low, high in zip(levels, levels[1:]):
         below, above = ([e for d, e in held.items() if graded[d] == v] or [float(v)] for v in (low, high))
         spread_low, spread_high = np.std(below) + 0.02, np.std(above) + 0.02
         cuts.append(float((np.mean(below) * spread_high + np.mean(above) * spread_low) / (spread_low + spread_high)))
-    w, b = _softmax_fit(x, y, len(levels))
+    w, b, _ = fitted[folds]
     return LevelModel(levels, {n: w[i].astype(float) * 20 for i, n in enumerate(names)}, w[len(names) :].astype(float), b.astype(float), list(np.maximum.accumulate(cuts)))
 
 
@@ -236,11 +304,11 @@ def _scorer(model: LevelModel, least_words: int):
     return run
 
 
-def reading_levels(docs: DataFrame, samples: DataFrame, least_words: int = LEAST_WORDS, max_samples: int = 10_000) -> DataFrame:
+def reading_levels(docs: DataFrame, samples: DataFrame, least_words: int = LEAST_WORDS, max_samples: int = 2_000) -> DataFrame:
     """``doc_id, reading_level, expected, n_words`` of each document of ``doc_id, text`` with enough English prose."""
     schema = "doc_id long, reading_level long, expected double, n_words long"
     rows = samples.where(F.col("text").isNotNull() & F.col("reading_level").isNotNull()).select("text", "reading_level", "sample_id").orderBy("sample_id").limit(max_samples).collect()
-    model = fit([r.text for r in rows], [r.reading_level for r in rows])
+    model = fit([r.text for r in rows], [r.reading_level for r in rows], spark=docs.sparkSession)
     some = docs.where(F.col("text").isNotNull() & (F.col("text") != "")).select(F.col("doc_id").cast("long"), "text")
     if model is None:
         return docs.sparkSession.createDataFrame([], schema)
