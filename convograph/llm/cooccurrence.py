@@ -2,9 +2,10 @@
 
 Method: heavy–light decomposition. An item is *heavy* if it makes up at least ``1 / HEAVY`` of all
 incidences, so there are at most ``HEAVY`` heavy items whatever the data. Heavy pairs are counted by popcounts
-of the ANDed rows of a bit matrix (items × baskets) and leave a task as one number per pair. Light pairs, and
-pairs of a light and a heavy item, are hash-counted with map-side combination. The three parts are united and
-scored by lift.
+of the ANDed rows of a bit matrix (items × baskets) and leave a task as one number per pair. Pairs of a light and
+a heavy item are counted by probing: each light item's list of baskets sums the baskets' rows of heavy bits. Light
+pairs are hash-counted with map-side combination, large baskets in blocks. The three parts are united and scored by
+lift.
 
 Items that can be in no result are dropped before pairs are made, without loss: one in fewer baskets than
 ``least_together``, and (since c <= min(a, b)) one in more than ``n / min_lift`` of the n baskets.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convograph.functions.text import node_name
-from convograph.session import cut
+from convograph.session import cut, parallelism
 from convograph.sources.exports import newest, table
 
 HEAVY = 1024
@@ -47,6 +48,45 @@ def _heavy_counter(n_heavy: int):
     return run
 
 
+def _list_prober(n_heavy: int):
+    """Counts of light items with heavy ones: each light item's list of baskets probes the baskets' rows of the bit matrix."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for light, heavy in batches:
+            rows = np.zeros((len(heavy), n_heavy), bool)
+            for row, members in zip(rows, heavy):
+                row[np.asarray(members, np.int64)] = True
+            basket = np.repeat(np.arange(len(light)), [len(x) for x in light])
+            codes, items = pd.factorize(np.concatenate([np.asarray(x, object) for x in light])) if len(basket) else (np.empty(0, int), np.empty(0, object))
+            order = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[order], np.arange(len(items) + 1))
+            out = []
+            for k, item in enumerate(items):
+                counts = rows[basket[order[ends[k] : ends[k + 1]]]].sum(axis=0)
+                out += [(item, int(j), int(counts[j])) for j in np.flatnonzero(counts)]
+            yield pd.DataFrame(out, columns=["x", "j", "c"])
+
+    return run
+
+
+#: light items of a basket that are paired in one row; larger baskets are cut into blocks of this size
+BLOCK = 128
+
+
+def light_pairs(lists: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``x, y`` (x < y) of each pair inside the sorted lists ``lv``.
+
+    A basket larger than a block becomes a row per pair of its blocks, and those rows are spread over all tasks.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("lv") - 1) / block).cast("int")), lambda k: F.slice("lv", k * block + 1, F.lit(block)))
+    one = lists.where((F.size("lv") >= 2) & (F.size("lv") <= block)).select(F.col("lv").alias("left"), F.col("lv").alias("right"), F.lit(True).alias("same"))
+    large = lists.where(F.size("lv") > block).select(blocks.alias("bs")).select(F.posexplode("bs").alias("i", "left"), "bs")
+    large = large.select("left", "i", F.posexplode("bs").alias("j", "right")).where("j >= i").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
+    both = one.unionByName(large.repartition(parallelism(lists.sparkSession)))
+    first = both.select(F.posexplode("left").alias("p", "x"), "right", "same")
+    return first.select("x", F.explode(F.when(F.col("same"), F.slice("right", F.col("p") + 2, F.lit(block))).otherwise(F.col("right"))).alias("y"))
+
+
 def pair_counts(baskets: DataFrame, least_together: int = 3, min_lift: float = 4.0, heavy_share: int = HEAVY) -> DataFrame:
     """``node_a, node_b, c, a, b, n, lift`` of the pairs with c >= ``least_together`` and lift >= ``min_lift``.
 
@@ -83,10 +123,16 @@ def pair_counts(baskets: DataFrame, least_together: int = 3, min_lift: float = 4
     light = with_heavy.select("id", F.explode(F.array_except("items", "hv")).alias("item")).join(light_items, "item")
     lists = light.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("lv"))
     joined = lists.join(with_heavy.select("id", "hv"), "id")
-    mixed = joined.select(F.explode("lv").alias("x"), "hv").select("x", F.explode("hv").alias("y"))
-    rare = joined.select(F.posexplode("lv").alias("p", "x"), "lv").select("x", F.explode(F.slice("lv", F.col("p") + 2, F.greatest(F.size("lv"), F.lit(1)))).alias("y"))
-    hashed = mixed.unionByName(rare).groupBy("x", "y").agg(F.count("*").alias("c"))
-    pairs = both_heavy.unionByName(hashed).where(F.col("c") >= least_together)
+    probe = _list_prober(len(heavy_names))
+    mixed = (
+        joined.where(F.size("hv") > 0).select("lv", "hv")
+        .mapInPandas(lambda it: probe((pdf.lv, next(numbered(iter([pdf]))).heavy) for pdf in it), "x string, j int, c long")
+        .groupBy("x", "j").agg(F.sum("c").alias("c"))
+        .join(F.broadcast(heavy.select(F.col("ix").alias("j"), F.col("item").alias("y"))), "j")
+        .select("x", "y", "c")
+    )
+    rare = light_pairs(lists).groupBy("x", "y").agg(F.count("*").alias("c"))
+    pairs = both_heavy.unionByName(mixed).unionByName(rare).where(F.col("c") >= least_together)
     pairs = pairs.select(F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b"), "c")
     one, two = counts.select(F.col("item").alias("node_a"), F.col("k").alias("a")), counts.select(F.col("item").alias("node_b"), F.col("k").alias("b"))
     scored = pairs.join(one, "node_a").join(two, "node_b").withColumn("n", F.lit(n).cast("long"))

@@ -112,9 +112,40 @@ def test_reading_level_rows(spark, small):
     assert reading_level.prose(md).strip() == f"{easy} {easy} {easy}"
 
 
+def test_sparse_sums(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows, cols, vals = r.integers(0, 9, 60), r.integers(0, 7, 60), r.normal(size=60)
+    dense = np.zeros((9, 7))
+    np.add.at(dense, (rows, cols), vals)
+    w, g, keep = r.normal(size=(7, 3)), r.normal(size=(9, 3)), np.arange(9) % 3 > 0
+    for most in (0, 1000):
+        monkeypatch.setattr(reading_level.Sparse, "DENSE", most)
+        x = reading_level.Sparse(rows, cols, vals, (9, 7))
+        assert np.allclose(x.times(w), dense @ w, atol=1e-5) and np.allclose(x.transposed_times(g), dense.T @ g, atol=1e-5)
+        assert np.allclose(x.part(keep).times(w), dense[keep] @ w, atol=1e-5)
+
+
+def test_long_texts_split_in_linear_time():
+    import time
+
+    text = " ".join(f"Word{i} alpha{i} beta{i} gamma{i} delta{i}." for i in range(25_000))
+    began = time.time()
+    out = split.pieces(text, 4_000, 200)
+    assert len(text) > 900_000 and time.time() - began < 8 and out[-1][1] == len(text)
+
+
 # ------------------------------------------------------------------ pair counts
 
 
+def test_large_baskets_in_blocks(spark):
+    lists = [(str(b), sorted(f"i{(b * 7 + k) % 60:02}" for k in range(n))) for b, n in enumerate((1, 2, 3, 8, 9, 17, 50))]
+    got = Counter((r.x, r.y) for r in cooccurrence.light_pairs(spark.createDataFrame(lists, "id string, lv array<string>"), 4).collect())
+    assert got == Counter(p for _, v in lists for p in combinations(v, 2))
+
+
+
 @pytest.mark.parametrize("heavy", [1, 6, 1024])
 def test_pairs_against_brute_force(spark, heavy):
     r = random.Random(heavy)
