@@ -286,7 +286,7 @@ mt AS (SELECT page_kind AS kind, node, string_agg(line, chr(10) ORDER BY line) A
 rt AS (SELECT page_kind AS kind, node, string_agg(line, chr(10) ORDER BY line) AS t FROM rl GROUP BY 1, 2)
 SELECT kind, node, '# ' || display || chr(10) || coalesce(chr(10) || chr(10) || '## Mentioned In' || chr(10) || mt.t || chr(10), '') || coalesce(chr(10) || '## Relations' || chr(10) || chr(10) || rt.t, '') AS body
 FROM pages LEFT JOIN mt USING (kind, node) LEFT JOIN rt USING (kind, node)""",
-    "gemini_file": "SELECT time, title, array_to_string(list_transform(safe_html_item, lambda x: x.html), ' ¦ ') AS html FROM gemini_activity",
+    "gemini_file": "SELECT time, title, CASE WHEN safe_html_item IS NOT NULL THEN coalesce(array_to_string(list_transform(safe_html_item, lambda x: x.html), ' ¦ '), '') END AS html FROM gemini_activity",
     "claude_file": f"WITH {_CL} SELECT created_at, name, m.sender AS sender, m.created_at AS at, {_CL_MD} AS text FROM cl",
     "chatgpt_file": f"WITH {_GPT_NODES.replace('row_id, account_id, create_time,', 'row_id, account_id, create_time, title,')} SELECT create_time, title, rec_id AS node, m.create_time AS at, m.author.role AS role, array_to_string(m.content.parts, ' ¦ ') AS parts FROM g",
     "markdown_files": f"WITH {_CL_DAYS}, days AS ({_DAY.format(p='claude', l='Claude')}) SELECT account_id || '/' || path AS path, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS hash FROM days",
